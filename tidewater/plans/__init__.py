@@ -1,0 +1,3 @@
+"""Queries over the driver's tables; importing this registers them."""
+
+from tidewater.plans import relational, scalar, searches  # noqa: F401

@@ -12,7 +12,7 @@ from tidewater import session
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-FLAGSHIP = "scan_visible"
+FLAGSHIP = "search_bm25_relevance"
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
