@@ -33,7 +33,7 @@ def past_cooldown(batch: DataFrame, removed: DataFrame, as_of, base_days: int) -
     """(kept, held): keys that are not, and that are, within their removal's cooldown."""
     known = removed.select("key", "removed_at", "removals", F.col("sightings").alias("held_sightings"))
     left = S.cooldown_left(F.col("removals"), F.col("held_sightings"), F.col("priority"), F.col("removed_at"), as_of, base_days)
-    joined = batch.join(known, "key", "left").withColumn("left", F.coalesce(left, F.lit(0).cast("long")))
+    joined = batch.join(known, "key", "left").withColumn("left", F.when(F.col("removals").isNull(), 0).otherwise(left).cast("long"))
     return joined.where("left = 0").select(*batch.columns), joined.where("left > 0").select(*batch.columns)
 
 
