@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,7 @@ from tidewater import shared
 from tidewater.llm import files
 
 END = 2
-CACHE = 300_000  #: pieces; about 250 bytes each
+CACHE = 1_000_000  #: pieces; about 200 bytes each
 READ_IDS = 1 << 22  #: ids taken at once when files are read back
 _IDS = np.dtype([("id", "<i8"), ("null", "u1")])
 #: A space between characters that are no white space: no pre-token spans it, and it begins the next one.
@@ -54,7 +57,12 @@ class Encoder:
         self.limit, self.known = cache, {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        coded = [array(code, e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in coded:
+                a.byteswap()
+        return [a.tobytes() for a in coded]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the end id, as bytes."""
@@ -79,6 +87,12 @@ class Encoder:
         return [ends[i] + b"".join(map(find, p[1:])) + ends[len(pieces) + i] + self.end for i, p in enumerate(pieces)]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end: int) -> Encoder:
+    """One for a worker process, so that tasks after the first find its cache filled."""
+    return Encoder(path, end)
+
+
 def dtype_of(vocabulary: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
@@ -93,7 +107,7 @@ def _writer(folder: str, tokenizer: str, end: int):
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = Encoder(tokenizer, end)
+                encoder = encoder_of(tokenizer, end)
                 ids, offsets, keys = (files.Atomic(f"{name}.{x}", context.taskAttemptId()) for x in ("ids", "offsets", "docs"))
                 offsets.write(np.array([0], "<u8").tobytes())
             coded = encoder.encode(batch.column(1).to_pylist())
