@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tidewater import shared
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Count and hash sum: equal only if a round has changed no edge (two sums of 64-bit hashes would have to agree by chance)."""
+    h = F.xxhash64("u", "v").cast("decimal(38,0)")
+    return tuple(edges.agg(F.count("*"), F.sum(h), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of the edges (u, v): root is the least node of its component.
 
@@ -16,6 +22,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     spark = edges.sparkSession
     current, path = shared.written(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), name)
+    state = _state(current)
     while True:
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -24,8 +31,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         following, new_path = shared.written(small, name)
-        moved = not following.exceptAll(current.select("u", "v")).isEmpty() or following.count() != current.count()
+        before, state = state, _state(following)
         shared.remove(spark, path)
         current, path = following, new_path
-        if not moved:
+        if state == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

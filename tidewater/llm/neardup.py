@@ -8,9 +8,9 @@ signature; the check, and the default signature, take the set.
 1. Equal texts are one node (by MD5 of the bytes), so copies never meet each other.
 2. Each node's signature gives ``BANDS`` keys. A pair at the threshold shares one with a probability of 0.99997.
 3. Nodes that share a key are compared with leaders of their bucket only: first the bucket's least node, then, as long as a bucket
-   holds nodes of more than one class, ``SLOTS`` of those that have not led. A leader is done with when it has met all
-   nodes of other classes, so every candidate pair is checked or joins nodes already in one class: no link that could
-   change a class is lost, and a bucket of copies with edits needs a row for each, not for each pair.
+   holds nodes of more than one class, ``SLOTS`` (then twice as many, and so on) of those that have not led. A leader is
+   done with when it has met all nodes of other classes, so every candidate pair is checked or joins nodes already in one
+   class: no link that could change a class is lost, and a bucket of copies with edits needs a row for each, not for each pair.
 4. Texts without words stay alone.
 
 Repeated rows share a class. A null doc_id names a class only if all its doc_ids are null. Empty tables give empty results.
@@ -77,7 +77,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets are similar enough."""
     u, v = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
     both = pairs.join(u, "u").join(v, "v").withColumn("n", F.size(F.array_intersect("su", "sv")))
-    return both.where(F.col("n") >= similarity * (F.size("su") + F.size("sv") - F.col("n"))).select("u", "v")
+    return both.where(F.col("n") >= similarity * (F.size("su") + F.size("sv") - F.col("n"))).select(*pairs.columns)
 
 
 def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, slots: int = SLOTS) -> DataFrame:
@@ -99,27 +99,34 @@ def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, sl
     leaders = table.where("n1 = lead").select("key", F.col("node").alias("leader"), F.col("n").alias("ln"))
     met = table.join(leaders, "key").where((F.col("node") != F.col("leader")) & near(F.col("n"), F.col("ln")))
     pairs = met.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
-    found, found_path = shared.written(_checked(pairs, sets, similarity), "links")
-    rest, rest_path = table.where("n1 <> lead").select("key", "node", "n1", "n"), table_path
-    tables = [table_path, sets_path, found_path]
+    roots, path = shared.written(components(_checked(pairs, sets, similarity)), "roots")
+    tables = [table_path, sets_path, path]
+    rest = table.where("n1 <> lead").join(roots, "node", "left").select("key", "node", "n1", "n", F.coalesce("root", "node").alias("root"))
     while True:
-        roots = components(found, "roots")
-        labelled = rest.join(roots, "node", "left").select("key", "node", "n1", "n", F.coalesce("root", "node").alias("root"))
         label = F.xxhash64("root")
-        live = labelled.groupBy("key").agg(F.min(label).alias("a"), F.max(label).alias("b")).where("a <> b").select("key")
-        rest, rest_path = shared.written(labelled.join(live, "key"), "members")
-        tables.append(rest_path)
+        live = rest.groupBy("key").agg(F.min(label).alias("a"), F.max(label).alias("b")).where("a <> b").select("key")
+        rest, path = shared.written(rest.join(live, "key"), "members")
+        tables.append(path)
         if rest.isEmpty():
             break
-        slot = F.pmod(F.xxhash64("n1", "key"), F.lit(slots))
-        chosen = rest.groupBy("key", slot.alias("slot")).agg(F.min("n1").alias("n1")).select("key", "n1")
+        # The same nodes lead in all buckets, so that a pair is met in one round.
+        chosen = rest.groupBy("key", F.pmod(F.xxhash64("n1"), F.lit(slots)).alias("slot")).agg(F.min("n1").alias("n1")).select("key", "n1")
         leading = rest.join(chosen, ["key", "n1"], "left_semi").select("key", F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("root").alias("lroot"))
         met = rest.join(leading, "key").where((F.col("root") != F.col("lroot")) & near(F.col("n"), F.col("ln")))
-        pairs = met.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
-        more, path = shared.written(_checked(pairs, sets, similarity), "links")
+        pairs = met.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"), F.least("root", "lroot").alias("ru"), F.greatest("root", "lroot").alias("rv"))
+        more, path = shared.written(_checked(pairs.distinct(), sets, similarity), "links")
         tables.append(path)
-        found = found.unionByName(more)
-        rest = rest.join(chosen, ["key", "n1"], "left_anti").select("key", "node", "n1", "n")
+        rest = rest.join(chosen, ["key", "n1"], "left_anti").select("key", "node", "n1", "n", "root")
+        if not more.isEmpty():
+            merged, path = shared.written(components(more.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("new")), "merged")
+            tables.append(path)
+            renamed = lambda df: df.join(merged, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")  # noqa: E731, B023
+            # A class of one node is in no row of roots yet.
+            single = merged.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("new").alias("root"))
+            roots, path = shared.written(renamed(roots).select("node", "root").unionByName(single), "roots")
+            tables.append(path)
+            rest = renamed(rest).select("key", "node", "n1", "n", "root")
+        slots *= 2
     kept, _ = shared.written(roots, "classes")
     for path in tables:
         shared.remove(spark, path)
