@@ -7,7 +7,7 @@ signature; the check, and the default signature, take the set.
 
 1. Equal texts are one node (by MD5 of the bytes), so copies never meet each other.
 2. Each node's signature gives ``BANDS`` keys. A pair at the threshold shares one with a probability of 0.99997.
-3. Nodes that share a key are compared with leaders of their bucket only: first the bucket's least node, then, as long as a bucket
+3. Nodes that share a key are compared with leaders of their bucket only: first the node that meets most others in its buckets, then, as long as a bucket
    holds nodes of more than one class, ``SLOTS`` (then twice as many, and so on) of those that have not led. A leader is
    done with when it has met all nodes of other classes, so every candidate pair is checked or joins nodes already in one
    class: no link that could change a class is lost, and a bucket of copies with edits needs a row for each, not for each pair.
@@ -84,10 +84,16 @@ def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, sl
     """(node, root) of all nodes that are in a class of several."""
     spark = docs.sparkSession
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    n1 = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")  # orders nodes; ties only cost a leader more
-    members = nodes.select(F.explode("keys").alias("key"), "node", n1.alias("n1"), "n")
-    crowded = members.groupBy("key").agg(F.count("*").alias("size"), F.min("n1").alias("lead")).where("size > 1").select("key", "lead")
-    table, table_path = shared.written(members.join(crowded, "key"), "members")
+    members = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    crowded = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met, met_path = shared.written(members.join(crowded, "key"), "members")
+    # n1 orders nodes, the one that meets most others first: among edited copies of a text that is the text itself. Equal ranks
+    # only cost a leader more.
+    score = F.least(F.sum("size"), F.lit(1 << 29)) * F.lit(1 << 33) + F.pmod(F.xxhash64("node"), F.lit(1 << 33))
+    ranked = met.groupBy("node").agg((-score).alias("n1"))
+    placed = met.join(ranked, "node").select("key", "node", "n1", "n")
+    table, table_path = shared.written(placed.join(placed.groupBy("key").agg(F.min("n1").alias("lead")), "key"), "ranked")
+    shared.remove(spark, met_path)
     wanted = table.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select("doc_id", text.cast("binary").alias("text"), F.unhex(F.md5(text)).alias("node"))
