@@ -8,7 +8,7 @@ signature; the check, and the default signature, take the set.
 1. Equal texts are one node (by MD5 of the bytes), so copies never meet each other.
 2. Each node's signature gives ``BANDS`` keys. A pair at the threshold shares one with a probability of 0.99997.
 3. Nodes that share a key are compared with leaders of their bucket only: first the node that meets most others in its buckets, then, as long as a bucket
-   holds nodes of more than one class, ``SLOTS`` (then twice as many, and so on) of those that have not led. A leader is
+   holds nodes of more than one class, ``SLOTS`` (then four times as many, and so on) of those that have not led. A leader is
    done with when it has met all nodes of other classes, so every candidate pair is checked or joins nodes already in one
    class: no link that could change a class is lost, and a bucket of copies with edits needs a row for each, not for each pair.
 4. Texts without words stay alone.
@@ -34,7 +34,7 @@ from tidewater.llm.textkit import hash_words, range_hashes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-SLOTS = 16
+SLOTS = 64
 
 
 def shingles(texts: list[bytes | None], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -132,7 +132,7 @@ def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, sl
             roots, path = shared.written(renamed(roots).select("node", "root").unionByName(single), "roots")
             tables.append(path)
             rest = renamed(rest).select("key", "node", "n1", "n", "root")
-        slots *= 2
+        slots *= 4
     kept, _ = shared.written(roots, "classes")
     for path in tables:
         shared.remove(spark, path)
