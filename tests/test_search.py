@@ -9,7 +9,8 @@ DOCS = "id long, name string, files string, size long, created long, seen long,
 
 def index(spark, rows):
     full = [(i, name, files, *(extra or (1, 1, 0)), 1) for i, name, files, extra in rows]
-    return search.build(spark.createDataFrame(full, DOCS))
+    built = search.build(spark.createDataFrame(full, DOCS))
+    return search.Index(built.docs.cache(), built.postings.cache(), built.terms.cache(), built.fields.cache())
 
 
 def ids(ix, query, sort="relevance"):
