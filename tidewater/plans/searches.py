@@ -16,11 +16,23 @@ tok AS (SELECT id, field, i AS position, ws[i + 1] AS term FROM (SELECT id, fiel
 
 
 def _index(spark, sf) -> search.Index:
+    """Over the rows that the SQL above tokenises alike."""
     rows = T.documents(spark, sf)
     both = F.concat_ws("\n", "name", "files")
     return search.build(rows.where(F.octet_length(both) == F.char_length(both)))
 
 
+def _searched(name: str, oracle: str):
+    """Register ``name`` over the ASCII rows, as its SQL has it, and ``name``_all over every row, which no SQL tokenises alike."""
+
+    def add(build):
+        query(name, oracle)(lambda spark, sf: build(_index(spark, sf)))
+        query(f"{name}_all")(lambda spark, sf: build(search.build(T.documents(spark, sf))))
+        return build
+
+    return add
+
+
 def _has(term: str) -> str:
     return f"SELECT DISTINCT id FROM tok WHERE term = '{term}'"
 
@@ -30,39 +42,39 @@ def _phrase(*terms: str) -> str:
     return f"SELECT DISTINCT t0.id FROM tok t0 {joins} WHERE t0.term = '{terms[0]}'"
 
 
-@query("search_terms_and", f"WITH {_CORPUS} {_has('the')} INTERSECT {_has('and')}")
-def _(spark, sf):
-    return search.ranked(_index(spark, sf), "the and ").select("id")
+@_searched("search_terms_and", f"WITH {_CORPUS} {_has('the')} INTERSECT {_has('and')}")
+def _(index):
+    return search.ranked(index, "the and ").select("id")
 
 
-@query("search_exclusion", f"WITH {_CORPUS} {_has('the')} EXCEPT {_has('with')}")
-def _(spark, sf):
-    return search.ranked(_index(spark, sf), "the -with ").select("id")
+@_searched("search_exclusion", f"WITH {_CORPUS} {_has('the')} EXCEPT {_has('with')}")
+def _(index):
+    return search.ranked(index, "the -with ").select("id")
 
 
-@query("search_phrase", f"WITH {_CORPUS} {_phrase('of', 'the')}")
-def _(spark, sf):
-    return search.ranked(_index(spark, sf), '"of the"').select("id")
+@_searched("search_phrase", f"WITH {_CORPUS} {_phrase('of', 'the')}")
+def _(index):
+    return search.ranked(index, '"of the"').select("id")
 
 
-@query("search_prefix", f"WITH {_CORPUS} SELECT DISTINCT id FROM tok WHERE (field, term) IN (SELECT field, term FROM (SELECT DISTINCT field, term FROM tok WHERE starts_with(term, 'tio')) QUALIFY row_number() OVER (PARTITION BY field ORDER BY term) <= 200)")
-def _(spark, sf):
-    return search.ranked(_index(spark, sf), "tio").select("id")
+@_searched("search_prefix", f"WITH {_CORPUS} SELECT DISTINCT id FROM tok WHERE (field, term) IN (SELECT field, term FROM (SELECT DISTINCT field, term FROM tok WHERE starts_with(term, 'tio')) QUALIFY row_number() OVER (PARTITION BY field ORDER BY term) <= 200)")
+def _(index):
+    return search.ranked(index, "tio").select("id")
 
 
-@query("search_prefix_terms", f"WITH {_CORPUS}, x AS (SELECT field, term FROM (SELECT DISTINCT field, term FROM tok WHERE starts_with(term, 'er')) QUALIFY row_number() OVER (PARTITION BY field ORDER BY term) <= 200) SELECT DISTINCT term FROM x")
-def _(spark, sf):
-    return spark.createDataFrame([(t,) for t in search.expansions(_index(spark, sf), "er")], "term string")
+@_searched("search_prefix_terms", f"WITH {_CORPUS}, x AS (SELECT field, term FROM (SELECT DISTINCT field, term FROM tok WHERE starts_with(term, 'er')) QUALIFY row_number() OVER (PARTITION BY field ORDER BY term) <= 200) SELECT DISTINCT term FROM x")
+def _(index):
+    return index.docs.sparkSession.createDataFrame([(t,) for t in search.expansions(index, "er")], "term string")
 
 
-@query("search_top_size", f"WITH {_CORPUS}, m AS ({_has('the')}) SELECT row_number() OVER (ORDER BY size DESC, id DESC) AS rank, id, size AS value FROM m JOIN docs USING (id) ORDER BY rank LIMIT 20 OFFSET 20")
-def _(spark, sf):
-    return search.page(search.ranked(_index(spark, sf), "the ", "size"), 2).select("rank", "id", "value")
+@_searched("search_top_size", f"WITH {_CORPUS}, m AS ({_has('the')}) SELECT row_number() OVER (ORDER BY size DESC, id DESC) AS rank, id, size AS value FROM m JOIN docs USING (id) ORDER BY rank LIMIT 20 OFFSET 20")
+def _(index):
+    return search.page(search.ranked(index, "the ", "size"), 2).select("rank", "id", "value")
 
 
-@query("search_page_total", f"WITH {_CORPUS} SELECT count(*) AS total FROM ({_has('the')})")
-def _(spark, sf):
-    return search.total(search.ranked(_index(spark, sf), "the "))
+@_searched("search_page_total", f"WITH {_CORPUS} SELECT count(*) AS total FROM ({_has('the')})")
+def _(index):
+    return search.total(search.ranked(index, "the "))
 
 
 _BM25 = f"""WITH {_CORPUS}, len AS (SELECT id, field, count(*) AS len FROM tok GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM en),
@@ -73,26 +85,26 @@ s AS (SELECT tf.id, term, CASE WHEN field = 'name' THEN 3.0 ELSE 1.0 END * ln(1
 w AS (SELECT id, sum(score) AS score FROM s GROUP BY id HAVING count(DISTINCT term) = 2)"""
 
 
-@query("search_bm25_relevance", f"{_BM25} SELECT id, round(score * (1 + 0.15 * log10(1 + seen)), 5) AS score FROM w JOIN docs USING (id)")
-def _(spark, sf):
-    return search.ranked(_index(spark, sf), "the and ").select("id", F.round("score", 5).alias("score"))
+@_searched("search_bm25_relevance", f"{_BM25} SELECT id, round(score * (1 + 0.15 * log10(1 + seen)), 5) AS score FROM w JOIN docs USING (id)")
+def _(index):
+    return search.ranked(index, "the and ").select("id", F.round("score", 5).alias("score"))
 
 
-@query(
+@_searched(
     "search_rerank_boost",
     f"""{_BM25}, p AS (SELECT id, score * (1 + 0.15 * log10(1 + seen)) AS score FROM w JOIN docs USING (id) ORDER BY score DESC, id DESC LIMIT 20)
     SELECT id, round(score * coalesce(1 + 0.15 * log10(1 + CASE WHEN id % 2 = 0 THEN id % 40 END), 1), 5) AS boosted FROM p""",
 )
-def _(spark, sf):
+def _(index):
     from tidewater.functions import scalars as S
 
-    top = search.page(search.ranked(_index(spark, sf), "the and ")).withColumn("estimate", F.when(F.col("id") % 2 == 0, F.col("id") % 40))
+    top = search.page(search.ranked(index, "the and ")).withColumn("estimate", F.when(F.col("id") % 2 == 0, F.col("id") % 40))
     return search.rerank(top, "relevance").select("id", F.round(F.col("score") * S.seeder_boost(F.col("estimate")), 5).alias("boosted"))
 
 
-@query("index_term_statistics", f"WITH {_CORPUS} SELECT field, term, count(DISTINCT id) AS df FROM tok GROUP BY 1, 2")
-def _(spark, sf):
-    return _index(spark, sf).terms.where("field IN ('name', 'files')")
+@_searched("index_term_statistics", f"WITH {_CORPUS} SELECT field, term, count(DISTINCT id) AS df FROM tok GROUP BY 1, 2")
+def _(index):
+    return index.terms.where("field IN ('name', 'files')")
 
 
 @query("tokenize_multilingual", None)
