@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's ``docs``. All but the last return the columns of ``documents``; the last returns, per document of the mix in
-order, what its files hold. Nulls, empty texts, repeated rows, empty tables and extra columns are treated as each
+order, what its files hold: the order of the mix is that of the rows in the files of its table, which the last stage
+reads with them. Nulls, empty texts, repeated rows, empty tables and extra columns are treated as each
 operator's module says; clashing or extra columns pass through the first four stages unchanged.
 """
 
@@ -39,8 +40,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 6: ids of every document of the mix, in files."""
-    return tokens.digest(docs)
+    """Op 6: ids of every document of the mix, in files and in the mix's order."""
+    return tokens.digest(docs, by_row=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -1,7 +1,7 @@
 """Op 6. Token ids as flat unsigned integer files with 64-bit document offsets.
 
-Documents are range-sorted by doc_id (ties by a hash of the text, then the text; a null doc_id comes first). Each
-partition is one file of ids, of the smallest unsigned type that holds the vocabulary, one of offsets (``<u8``, one more
+Documents are range-sorted by doc_id (ties by a hash of the text, then the text; a null doc_id comes first), or keep the
+order of the rows of a table (``by_row``), as a mix's must. Each partition is one file of ids, of the smallest unsigned type that holds the vocabulary, one of offsets (``<u8``, one more
 than documents) and one of document ids. A partition's base is the prefix sum of the sizes before it, over one row a
 partition, and stands in ``manifest.json``. Files appear by rename, so a lost executor's tasks are simply repeated.
 
@@ -129,11 +129,25 @@ def _writer(folder: str, tokenizer: str, end: int):
     return write
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END) -> dict:
+def _by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` (a Parquet table that Spark wrote) with ``__part``, ``__file`` and ``__at``: where each row stands in it.
+
+    A scan deals files to tasks by size, so the order of its partitions is not that of the table.
+    """
+    name = F.col("_metadata.file_name")
+    place = {"__part": F.regexp_extract(name, r"^part-(\d+)", 1).cast("long"), "__file": name, "__at": F.col("_metadata.row_index")}
+    return docs.select("doc_id", "text", *(c.alias(k) for k, c in place.items()))
+
+
+def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END, by_row: bool = False) -> dict:
     """Encode ``docs`` (doc_id, text) into ``folder``; the manifest, which is also written there."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
-    dealt = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if by_row:
+        order = ["__part", "__file", "__at"]
+        dealt = _by_row(docs).select(*columns, *order).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    else:
+        order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+        dealt = docs.select(*columns).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     # One row a partition comes back.
     parts = dealt.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end), "part long, docs long, ids long, dtype string").collect()
     base, listed = [0, 0], []
@@ -191,9 +205,9 @@ def document(folder: str, i: int) -> np.ndarray:
     return files.read_array(f"{folder}/{part['name']}.ids", manifest["dtype"], a, b - a)
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, by_row: bool = False) -> DataFrame:
     """Write all documents' ids to new files in the shared folder and read the contract's columns back from them."""
     spark = docs.sparkSession
     folder = shared.new_path(spark, "tokens")
-    write(docs, folder)
+    write(docs, folder, by_row=by_row)
     return read(spark, folder)
