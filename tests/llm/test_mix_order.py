@@ -1,7 +1,9 @@
 """The order of the mix: in the token files of the pipeline, and in op 4's own rows."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm.conftest import DOCS
@@ -32,3 +34,44 @@ def test_token_files_of_several_parts_keep_the_order_of_rows(spark, mix):
     docs, _ = shared.written(mix.selectExpr("doc_id", "repeat(text, int(doc_id) + 1) AS text", "lang", "source", "n_chars").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id"), "parts")
     found = sorted(corpus_pipeline.token_files(spark, docs, "").collect(), key=lambda r: r.start)
     assert [r.doc_id for r in found] == list(range(60))
+
+
+def _order(rows, targets, schedules):
+    """(position, doc_id, copy) of every occurrence, the integrals by a fine grid."""
+    grid = np.linspace(0, 1, 100_001)
+    names = sorted({r.source for r in rows})
+    for k, name in enumerate(names):
+        mine = [r for r in rows if r.source == name]
+        size = {r.doc_id: len(r.text.split()) for r in mine}
+        whole = sum(size.values())
+        passes = int(targets[name] // whole)
+        knots = schedules[k % 3]
+        weight = np.interp(grid, [t for t, _ in knots], [w for _, w in knots])
+        demand = np.concatenate(([0], np.cumsum((weight[1:] + weight[:-1]) / 2)))
+        offset = 0
+        for r in sorted(mine, key=lambda r: hashlib.md5(f"{r.doc_id}:{r.text}".encode()).hexdigest()):
+            more = passes < 3 and offset + size[r.doc_id] / 2 <= targets[name] - passes * whole
+            for i in range(passes + more):
+                yield float(np.interp((i * whole + offset) / targets[name], demand / demand[-1], grid)), r.doc_id, i
+            offset += size[r.doc_id]
+
+
+@pytest.mark.parametrize("schedules", [curriculum.SCHEDULES, curriculum.SCHEDULES[::-1]])
+def test_positions_and_ranks(spark, mix, schedules):
+    rows = mix.collect()
+    source = {r.doc_id: r.source for r in rows}
+    targets = {source[r.doc_id]: r.target for r in curriculum.digest(mix).collect()}
+    want = {(d, i): p for p, d, i in _order(rows, targets, schedules)}
+    found = sorted(curriculum.order(mix, schedules=schedules).collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in found] == list(range(len(want)))
+    assert {(r.doc_id, r["copy"]): r.position for r in found} == pytest.approx(want, abs=1e-4)
+    assert [(r.position, r.doc_id) for r in found] == sorted((r.position, r.doc_id) for r in found)
+
+
+def test_order_is_a_query(spark, mix, empty, tmp_path):
+    from tidewater.llm import catalog
+
+    mix.write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.queries()["op4_source_mix_order"](spark, str(tmp_path))
+    assert found.columns == ["doc_id", "copy", "position", "rank"] and found.count() == curriculum.schedule(mix).count()
+    assert curriculum.order(empty).count() == 0

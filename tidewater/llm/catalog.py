@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op2_url_filter": _over("pages", urls.digest),
         "op3_quality_rules": _over("documents", quality.digest),
         "op4_source_mix": _over("documents", curriculum.digest),
+        "op4_source_mix_order": _over("documents", curriculum.order),
         "op5_substring_dedup": _over("documents", substrings.digest),
         "op6_token_files": _over("documents", tokens.digest),
         "op7_decontaminate": _over("documents", decontaminate.digest, "benchmark"),

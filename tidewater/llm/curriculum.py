@@ -120,7 +120,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULE
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every document."""
+    """The contract's columns for every document. They hold counts only; ``order`` has the positions."""
     return plan(docs.select("doc_id", "source", "text")).select(
         "doc_id",
         F.col("__size").alias("size"),
@@ -130,16 +130,27 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def _in_order(docs: DataFrame, **options) -> DataFrame:
+    """Every occurrence as a row with the columns of ``docs``, ``__copy`` and ``__position``, range-sorted by that."""
+    rows = plan(docs, **options).select(*(F.col(f"`{c}`") for c in docs.columns), F.posexplode("__positions").alias("__copy", "__position"))
+    return rows.repartitionByRange(F.col("__position"), F.col("doc_id")).sortWithinPartitions("__position", "doc_id")
+
+
 def schedule(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every occurrence as a row with the columns of ``docs``, range-sorted by training position."""
-    columns = docs.columns
-    rows = plan(docs, **options)
-    return (
-        rows.select(*(F.col(f"`{c}`") for c in columns), F.explode("__positions").alias("__position"))
-        .repartitionByRange(F.col("__position"), F.col("doc_id"))
-        .sortWithinPartitions("__position", "doc_id")
-        .select(*(F.col(f"`{c}`") for c in columns))
-    )
+    return _in_order(docs, **options).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def order(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, copy (from 0), position and rank (from 0, over the whole mix) of every occurrence, read off the sorted mix."""
+    mix = _in_order(docs.select("doc_id", "source", "text"), **options).select("doc_id", F.col("__copy").cast("long").alias("copy"), F.col("__position").alias("position"))
+    # The id counts the rows of a partition from its number in the bits above 33.
+    rows, _ = shared.written(mix.withColumn("__row", F.monotonically_increasing_id()), "mix")
+    rows = rows.withColumn("__part", F.shiftright("__row", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    bases = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    ranked = rows.join(F.broadcast(bases), "__part")
+    return ranked.select("doc_id", "copy", "position", (F.col("__base") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
 
 
 ORACLE = r"""
