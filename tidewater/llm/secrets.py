@@ -64,14 +64,15 @@ def weak_spans(text: str) -> list[Span]:
 
 
 class _Near:
-    """Spans of some kinds, to ask for those that begin in a range."""
+    """Spans of some kinds, to ask for those that overlap a range. Those of a kind overlap nowhere, so their ends ascend too."""
 
     def __init__(self, spans: list[Span], kinds: tuple[str, ...]):
         self.spans = sorted(s for s in spans if KINDS[s[1]] in kinds)
-        self.starts = [s[0] for s in self.spans]
+        each = [[s for s in self.spans if KINDS[s[1]] == k] for k in kinds]
+        self.kinds = [(x, [s[0] for s in x], [s[2] for s in x]) for x in each if x]
 
     def within(self, low: int, high: int) -> list[Span]:
-        return self.spans[bisect_left(self.starts, low) : bisect_right(self.starts, high)]
+        return sorted(s for x, starts, ends in self.kinds for s in x[bisect_left(ends, low) : bisect_right(starts, high)])
 
 
 def link(spans: list[Span]) -> tuple[list[Span], list[tuple[Span, Span, Span | None]]]:
