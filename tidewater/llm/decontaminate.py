@@ -43,7 +43,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words(fold(F.col(text_col))).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     cut = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("win"))
-    return cut.select("item", F.array_join("win", " ").alias("window"), F.size("win").alias("span"), F.xxhash64(F.transform("win", F.lower)).alias("hash")).distinct()
+    return cut.select("item", F.array_join("win", " ").alias("window"), F.size("win").alias("span"), F.xxhash64("win").alias("hash")).distinct()
 
 
 def _scan_set(rows: DataFrame, hashes: dict[int, list[int]]) -> DataFrame:
@@ -82,7 +82,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", set_row
     rows = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns))).withColumn("__row", F.monotonically_increasing_id())
     kept = [f"__c{i}" for i in range(len(docs.columns))]
     text = F.col(f"__c{docs.columns.index(text_col)}")
-    scanned = rows.withColumn("__low", words(F.lower(text.cast("string"))))
+    scanned = rows.withColumn("__low", words(fold(text.cast("string"))))
     if small:
         by_span: dict[int, set[int]] = {}
         for r in known:
