@@ -140,7 +140,8 @@ def links(docs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY, sl
 
 
 def classify(docs: DataFrame, weighting: str = "set", similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, slots: int = SLOTS) -> DataFrame:
-    """doc_id, class_id, node and n_shingles of each row of ``docs`` (doc_id, text)."""
+    """doc_id, class_id, node, n_shingles and root of each row of ``docs`` (doc_id, text). Classes with the same least doc_id
+    share a class_id; root tells them apart."""
     ids = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     raw = ids.select("doc_id", F.col("text").cast("binary")).mapInArrow(_sign(weighting == "tf", n_bands, rows), f"doc_id {kind}, node binary, n_shingles long, keys array<long>")
@@ -148,8 +149,8 @@ def classify(docs: DataFrame, weighting: str = "set", similarity: float = SIMILA
     roots = links(ids, signed, similarity, slots)
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
-    return signed.join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "node", "n_shingles")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "root", "class_id")
+    return signed.join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "node", "n_shingles", "root")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     classes = classify(docs.select("doc_id", "text"), **options)
     # Nodes that hold their class' least doc_id; several only if a doc_id is repeated.
-    heads = classes.where("node IS NOT NULL AND class_id IS NOT NULL AND doc_id = class_id").groupBy("class_id").agg(F.min("node").alias("head"))
+    heads = classes.where("node IS NOT NULL AND class_id IS NOT NULL AND doc_id = class_id").groupBy("root", "class_id").agg(F.min("node").alias("head"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)), F.col("doc_id").alias("__id"), F.unhex(F.md5(text)).alias("__node"))
     kept = rows.join(heads, (F.col("__id") == F.col("class_id")) & (F.col("__node") == F.col("head"))).dropDuplicates(["__id", "__node"])
