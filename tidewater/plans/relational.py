@@ -84,7 +84,19 @@ def _(spark, sf):
     """SELECT p.turn AS pos, d.doc_id AS id, d.lang FROM (SELECT turn, conv_id AS id FROM conversations WHERE turn < 2) p JOIN documents d ON d.doc_id = p.id WHERE d.n_chars > 300""",
 )
 def _(spark, sf):
-    ids = table(spark, sf, "conversations").where("turn < 2").select(F.col("turn").alias("pos"), F.col("conv_id").alias("id"))
+    return _hydrated(spark, sf, table(spark, sf, "conversations").where("turn < 2"))
+
+
+@query(
+    "hydrate_in_order_all",
+    """SELECT p.turn AS pos, d.doc_id AS id, d.lang FROM conversations p JOIN documents d ON d.doc_id = p.conv_id WHERE d.n_chars > 300""",
+)
+def _(spark, sf):
+    return _hydrated(spark, sf, table(spark, sf, "conversations"))
+
+
+def _hydrated(spark, sf, turns):
+    ids = turns.select(F.col("turn").alias("pos"), F.col("conv_id").alias("id"))
     docs = table(spark, sf, "documents").where("n_chars > 300").select(F.col("doc_id").alias("id"), "lang", F.lit(None).cast("timestamp").alias("deleted_at"))
     return ids.join(catalogue.visible(docs), "id").select("pos", "id", "lang")
 
