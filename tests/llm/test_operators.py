@@ -417,7 +417,7 @@ def test_chains_of_near_duplicates_are_one_class(spark):
     rows = [(100 + i, " ".join(f"u{k}" if k < 6 * i else w for k, w in enumerate(words))) for i in range(12)]
     rows += [(i, " ".join(f"z{i}_{k}" if k % 9 == 0 else w for k, w in enumerate(words))) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert rows_of(neardup.classify(df, slots=2), "doc_id", "class_id") == sorted(_classes(rows), key=repr)
+    assert rows_of(neardup.classify(df), "doc_id", "class_id") == sorted(_classes(rows), key=repr)
 
 
 def test_one_of_each_class_stays(docs, clashing):
