@@ -1,9 +1,14 @@
-from tidewater import registry
+"""Hydration of a page, and of a list too long for one: the same rows, in the same order."""
 
+import pytest
 
-def test_every_turn_is_hydrated(spark, tmp_path):
-    spark.createDataFrame([(i, "en", 301 if i else 300) for i in range(3)], "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    turns = [(c, t, "user", "x") for c in range(4) for t in range(6)]
-    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    rows = registry.queries()["hydrate_in_order_all"](spark, str(tmp_path)).collect()
-    assert sorted((r.pos, r.id) for r in rows) == [(t, c) for t in range(6) for c in (1, 2)]
+from tidewater.operators import catalogue
+
+
+@pytest.mark.parametrize("most", [catalogue.PAGE_IDS, 5])
+def test_every_id_is_hydrated_in_order(spark, monkeypatch, most):
+    monkeypatch.setattr(catalogue, "PAGE_IDS", most)
+    items = spark.createDataFrame([(i, f"n{i}", None if i % 3 else "2024-01-01") for i in range(20)], "id long, name string, deleted_at string")
+    ids = [(p, p * 7 % 23) for p in range(40)]
+    rows = catalogue.hydrate(spark.createDataFrame(ids, "pos long, id long"), items).collect()
+    assert [(r.pos, r.id, r.name) for r in rows] == [(p, i, f"n{i}") for p, i in ids if i < 20 and i % 3]

@@ -1,4 +1,4 @@
-"""The search queries over every row, ASCII or not, against a brute-force version."""
+"""The search queries over texts of several scripts, against a brute-force version."""
 
 import math
 import random
@@ -41,7 +41,7 @@ def _scores(tokens):
 
 def test_all_rows_are_searched(spark, corpus):
     folder, texts, tokens = corpus
-    run = lambda name: registry.queries()[f"{name}_all"](spark, folder).collect()
+    run = lambda name: registry.queries()[name](spark, folder).collect()
     has = lambda term: {i for i, t in tokens.items() if any(w == term for f in t.values() for w, _ in f)}
     ids = lambda name: sorted(r.id for r in run(name))
     the = has("the")

@@ -197,6 +197,35 @@ def ascii_tokens(text: Column) -> Column:
     return F.filter(placed, lambda t: F.octet_length(t["term"]) <= TOKEN_BYTES)
 
 
+def _latin() -> dict[str, str]:
+    """What ``tokenize`` makes of each accented Latin letter that it neither drops nor takes for a break."""
+    found = {}
+    for c in map(chr, range(0xC0, 0x180)):
+        made = tokenize(f"a{c}a")
+        if len(made) == 1 and made[0][0].isascii() and len(made[0][0]) > 2:
+            found[c] = made[0][0][1:-1]
+    return found
+
+
+LATIN = _latin()
+_ONE = {c: x for c, x in LATIN.items() if len(x) == 1}
+_MORE = {c: x for c, x in LATIN.items() if len(x) > 1}
+
+
+def is_latin(text: Column) -> Column:
+    """Only ASCII and letters of LATIN: texts that ``latin_tokens`` takes."""
+    return text.rlike(f"^[\\x00-\\x7F{''.join(LATIN)}]*$")
+
+
+def latin_tokens(text: Column) -> Column:
+    """The tokens of such a text, without Python."""
+    plain = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
+    long = plain
+    for c, x in _MORE.items():
+        long = F.replace(long, F.lit(c), F.lit(x))
+    return ascii_tokens(F.when(plain.rlike(f"[{''.join(_MORE)}]"), long).otherwise(plain))
+
+
 def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 FEED_ROWS, FEED_BYTES = 1000, 64 << 20
+PAGE_IDS = 10_000
 LIST_FILES, DETAIL_FILES, DETAIL_BYTES = 10, 2000, 256 << 10
 
 
@@ -68,8 +69,13 @@ def smallest_files(files: Column, n: int = DETAIL_FILES) -> Column:
 # --- hydration
 
 def hydrate(ids: DataFrame, items: DataFrame, pos: str = "pos", id_: str = "id") -> DataFrame:
-    """Items in the order of ``ids`` (pos, id): missing and invisible ones drop out, repeated ones repeat. The page is the small side."""
-    return F.broadcast(ids.select(pos, id_)).join(visible(items), id_).orderBy(pos)
+    """Items in the order of ``ids`` (pos, id): missing and invisible ones drop out, repeated ones repeat.
+
+    A page of up to ``PAGE_IDS`` ids is broadcast, any other list is joined by a shuffle.
+    """
+    wanted = ids.select(pos, id_)
+    small = wanted.limit(PAGE_IDS + 1).count() <= PAGE_IDS
+    return (F.broadcast(wanted) if small else wanted).join(visible(items), id_).orderBy(pos, id_)
 
 
 # --- change feed
@@ -108,6 +114,12 @@ def high_water_mark(items: DataFrame, purged: DataFrame) -> int:
     return each.agg(F.coalesce(F.max("m"), F.lit(0)).alias("m")).first()["m"]
 
 
+def unnest(df: DataFrame, *arrays: str) -> DataFrame:
+    """Arrays of one length as rows, in order, beside the other columns; ``at`` counts from 0."""
+    others = [c for c in df.columns if c not in arrays]
+    return df.select(*others, F.posexplode(F.arrays_zip(*arrays)).alias("at", "__z")).select(*others, "at", *(F.col(f"__z.{a}").alias(a) for a in arrays))
+
+
 # --- statistics
 
 def daily(days: DataFrame, today: Column, n: int) -> DataFrame:

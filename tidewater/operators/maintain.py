@@ -14,6 +14,9 @@ from tidewater.functions import scalars as S
 from tidewater.operators import catalogue
 
 MOST_CLAIMED = 10_000
+MOST_COMPLETED = 1024
+#: Characters of an audit row's texts, least and most.
+AUDIT = {"actor": (1, 128), "action": (1, 64), "subject": (0, 256)}
 
 
 def _numbered(df: DataFrame, order: list[Column | str], base: Column, name: str) -> DataFrame:
@@ -180,63 +183,114 @@ def item_errors(name: Column, files: Column, total_size: Column, file_count: Col
     return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name_) for name_, ok in checks.items())))
 
 
-def complete(items: DataFrame, queue: DataFrame, removed: DataFrame, batch: DataFrame, as_of: Column, last_id: int, last_seq: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(items, queue, removed) after storing fetched items (key + CONTENT; keys of a batch that name different items).
+def resolve(batch: list[dict], stored: list[dict], last_id: int) -> tuple[list[dict], set[bytes]]:
+    """For each fetched item, in order: the row it goes to (``id``, ``fresh``), the hashes that row then has, and whether it takes the
+    queue's row; and all names whose removal is forgotten.
 
-    An item is updated if any of the new one's names is one of its own: the one with the same stored key, else the least id. Its
-    first sighting stays, sightings of the queue row are added, a tombstone is revived, and ``change_seq`` moves only with
-    content. A hash that another item owns is not taken over. Else a row is inserted. Queue rows and removal memory of all
-    names go.
+    An item goes to the row with its key, else to the least one with one of its hashes, as the rows are after the items before
+    it; else it is a new row. A hash that another of these rows owns is not taken over, the row then keeps its own.
+    """
+    rows = {r["id"]: dict(r) for r in stored}
+    owners: dict[tuple, set[int]] = {}
+    for r in stored:
+        for kind in ("key", "v1", "v2"):
+            owners.setdefault((kind, r[kind]), set()).add(r["id"])
+    steps, names, taken = [], set(), set()
+    for item in batch:
+        met = sorted(set().union(*(owners.get((k, item[k]), ()) for k in ("key", "v1", "v2") if item[k] is not None)))
+        named = [item, *(rows[i] for i in met)]
+        names |= {n for r in named for n in (r["key"], r["v1"], r["v2"] and r["v2"][:20]) if n is not None}
+        fresh = not met
+        if fresh:
+            last_id += 1
+            at = last_id
+            rows[at] = {"id": at, "key": item["key"], "v1": None, "v2": None}
+            owners.setdefault(("key", item["key"]), set()).add(at)
+        else:
+            at = next((i for i in met if rows[i]["key"] == item["key"]), met[0])
+        for h in ("v1", "v2"):
+            if item[h] is None or not any(i != at and rows[i][h] == item[h] for i in met):
+                owners.setdefault((h, rows[at][h]), set()).discard(at)
+                rows[at][h] = item[h]
+                owners.setdefault((h, item[h]), set()).add(at)
+        steps.append({"pos": item["pos"], "id": at, "fresh": fresh, "v1": rows[at]["v1"], "v2": rows[at]["v2"], "takes": item["key"] not in taken})
+        taken.add(item["key"])
+    return steps, names
+
+
+def complete_batch(
+    items: DataFrame, queue: DataFrame, removed: DataFrame, batch: DataFrame, as_of: Column, last_id: int, last_seq: int, most: int = MOST_COMPLETED
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(items, queue, removed, stored) after storing fetched items (``pos``, key and CONTENT) one after the other by ``pos``.
+
+    ``resolve`` says which row an item goes to. A row's first sighting stays, sightings of the queue row are added, a tombstone is
+    revived, and ``change_seq`` moves only with content, to the number of the last item that changed it. Queue rows of the
+    keys and removal memory of all names go. ``stored``: pos, id and whether the item counts as fetched. The names of a
+    batch of at most ``most`` items come to the driver, contents do not. An invalid item, or a longer batch, is an error.
     """
-    new = batch.select("key", *(F.col(c).alias(f"n_{c}") for c in CONTENT))
-    names = F.array_distinct(F.array_compact(F.array("key", "n_v1", F.substring("n_v2", 1, 20))))
-    named = new.select("key", F.explode(names).alias("alias"))
-    owned = named.join(catalogue.aliases(items), "alias").select("key", "id").distinct()
-    same = owned.join(items.select("id", F.col("key").alias("ikey")), "id").withColumn("rank", F.when(F.col("ikey") == F.col("key"), 0).otherwise(1))
-    target = same.groupBy("key").agg(F.min(F.struct("rank", "id"))["id"].alias("id"))
+    spark = batch.sparkSession
+    broken = item_errors(F.col("name"), F.col("files"), F.col("total_size"), F.col("file_count"), F.col("piece_length"))
+    given = [r.asDict() for r in batch.select("pos", "key", "v1", "v2", broken.alias("errors")).orderBy("pos").limit(most + 1).collect()]
+    if len(given) > most:
+        raise ValueError(f"a batch has at most {most} items")
+    if bad := [g["pos"] for g in given if g["errors"] or g["key"] is None]:
+        raise ValueError(f"invalid items at {bad[:10]}")
+    kinds = ("key", "v1", "v2")
+    mine = F.broadcast(batch.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in kinds))).alias("n")).select("n.*").distinct())
+    each = items.select("id", *kinds, F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in kinds))).alias("n")).select("id", *kinds, "n.*")
+    met = each.join(mine, ["kind", "name"]).select("id", *kinds).distinct()  # a name has one owner: three rows an item at most
+    plain = lambda r: {k: bytes(v) if isinstance(v, bytearray) else v for k, v in r.items()}
+    steps, names = resolve([plain(g) for g in given], [plain(r.asDict()) for r in met.collect()], last_id)
+    schema = f"pos {dict(batch.dtypes)['pos']}, id long, fresh boolean, v1 {dict(items.dtypes)['v1']}, v2 {dict(items.dtypes)['v2']}, takes boolean"
+    plan = F.broadcast(spark.createDataFrame([tuple(s.values()) for s in steps], schema))
+    gone = F.broadcast(spark.createDataFrame([(n,) for n in sorted(names)], f"key {dict(items.dtypes)['key']}"))
     waiting = queue.select("key", F.col("seen_count").alias("q_seen"), F.col("discovered_at").alias("q_at"))
-    full = new.join(target, "key", "left").join(waiting, "key", "left")
-    for h in ("v1", "v2"):  # hashes that an item other than the target has
-        other = items.where(F.col(h).isNotNull()).select(F.col(h).alias("h"), F.col("id").alias("oid"))
-        full = full.join(other, F.col(f"n_{h}") == F.col("h"), "left").withColumn(f"keep_{h}", F.col("oid").isNotNull() & ~F.col("oid").eqNullSafe(F.col("id"))).drop("h", "oid")
-    full = full.withColumnRenamed("key", "n_key")
-    joined = items.join(full.where("id IS NOT NULL"), "id", "left")
-    hit = F.col("n_key").isNotNull()
-    value = {h: F.when(F.col(f"keep_{h}") | F.col(f"n_{h}").isNull(), F.col(h)).otherwise(F.col(f"n_{h}")) for h in ("v1", "v2")}
-    value |= {c: F.col(f"n_{c}") for c in CONTENT if c not in value}
-    changed = hit & (S.content_changed([F.col(c) for c in CONTENT], [value[c] for c in CONTENT]) | F.col("deleted_at").isNotNull())
-    numbers = _numbered(joined.where(changed).select("id"), ["id"], F.lit(last_seq).cast("long"), "__seq")
-    updated = joined.join(numbers, "id", "left").withColumns(
-        {
-            **{c: F.when(hit, value[c]).otherwise(F.col(c)) for c in CONTENT},
-            "seen_count": F.when(hit, S.saturating_add(F.col("seen_count"), F.coalesce("q_seen", F.lit(0)))).otherwise(F.col("seen_count")),
-            "last_seen_at": F.when(hit, as_of).otherwise(F.col("last_seen_at")),
-            "deleted_at": F.when(hit, F.lit(None)).otherwise(F.col("deleted_at")),
-            "change_seq": F.coalesce("__seq", "change_seq"),
-        }
-    )
-    inserts = _numbered(full.where("id IS NULL"), ["n_key"], F.lit(last_id).cast("long"), "new_id")
-    inserts = inserts.select(
-        F.col("new_id").alias("id"),
-        F.col("n_key").alias("key"),
-        *(F.when(~F.col(f"keep_{h}"), F.col(f"n_{h}")).alias(h) for h in ("v1", "v2")),
-        *(F.col(f"n_{c}").alias(c) for c in CONTENT if c not in ("v1", "v2")),
-        F.greatest(F.coalesce("q_seen", F.lit(1)), F.lit(1)).cast("long").alias("seen_count"),
-        F.coalesce("q_at", as_of).alias("first_seen_at"),
-        as_of.alias("last_seen_at"),
-        # after the numbers of updates, of which there are no more than rows in the batch
-        (F.col("new_id") - F.lit(last_id) + F.lit(last_seq) + F.lit(1 << 20)).cast("long").alias("change_seq"),
-        F.lit(None).cast("timestamp").alias("deleted_at"),
-        F.lit(None).cast("timestamp").alias("last_scraped_at"),
-        F.lit(None).cast("int").alias("seeders_est"),
-        F.lit(0).alias("scrape_failures"),
-    )
-    gone = named.select(F.col("alias").alias("key")).distinct()
-    return (
-        updated.select(*items.columns).unionByName(inserts.select(*items.columns)),
-        queue.join(new.select("key"), "key", "left_anti"),
-        removed.join(gone, "key", "left_anti"),
+    fetched = batch.select("pos", "key", *(c for c in CONTENT if c not in kinds)).join(plan, "pos").join(waiting, "key", "left")
+    fetched = fetched.withColumns({c: F.when(F.col("takes"), F.col(c)) for c in ("q_seen", "q_at")})
+    # Contents one after the other, the stored one first; a row's content is compared with that before it.
+    before = items.join(F.broadcast(plan.select("id").distinct()), "id", "left_semi").select("id", F.lit(-1).cast("long").alias("n"), F.struct(*CONTENT).alias("content"))
+    order = spark.createDataFrame([(s["pos"], n) for n, s in enumerate(steps)], f"pos {dict(batch.dtypes)['pos']}, n long")
+    after = fetched.join(F.broadcast(order), "pos").select("id", "n", F.struct(*CONTENT).alias("content"), "pos", "key", "fresh", "q_seen", "q_at")
+    line = before.unionByName(after, allowMissingColumns=True).withColumn("was", F.lag("content").over(Window.partitionBy("id").orderBy("n")))
+    moved = (F.col("n") >= 0) & ~F.col("content").eqNullSafe(F.col("was"))
+    numbered = line.withColumn("moved", moved).withColumn("seq", F.when(F.col("moved"), F.lit(last_seq) + F.sum(F.col("moved").cast("long")).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))))
+    seen = F.when(F.col("fresh"), F.greatest(F.coalesce("q_seen", F.lit(0)), F.lit(1))).otherwise(F.coalesce("q_seen", F.lit(0)))
+    last = numbered.where("n >= 0").groupBy("id").agg(
+        F.max_by("content", "n").alias("c"), F.max("seq").alias("new_seq"), F.sum(seen.cast("decimal(38,0)")).alias("more"), F.min_by(F.struct("key", "q_at"), "n").alias("first")
     )
+    last = last.withColumn("more", F.least("more", F.lit(S.MAX_LONG).cast("decimal(38,0)")).cast("long")).withColumnRenamed("id", "new_id")
+    both = items.join(last, F.col("id") == F.col("new_id"), "full_outer")
+    hit, new = F.col("new_id").isNotNull(), F.col("id").isNull()
+    kept = {c: F.when(hit, F.col(f"c.{c}")).otherwise(F.col(c)) for c in CONTENT}
+    kept |= {
+        "id": F.coalesce("id", "new_id"),
+        "key": F.when(new, F.col("first.key")).otherwise(F.col("key")),
+        "seen_count": F.when(new, F.col("more")).when(hit, S.saturating_add(F.col("seen_count"), F.col("more"))).otherwise(F.col("seen_count")),
+        "first_seen_at": F.when(new, F.coalesce("first.q_at", as_of)).otherwise(F.col("first_seen_at")),
+        "last_seen_at": F.when(hit, as_of).otherwise(F.col("last_seen_at")),
+        "deleted_at": F.when(hit, F.lit(None)).otherwise(F.col("deleted_at")),
+        "change_seq": F.coalesce("new_seq", "change_seq"),
+        "scrape_failures": F.coalesce("scrape_failures", F.lit(0)),
+    }
+    types = dict(items.dtypes)
+    stored = fetched.select("pos", "id", (F.col("fresh") | F.col("q_seen").isNotNull()).alias("counted"))
+    keys = F.broadcast(batch.select("key").distinct())
+    return both.select(*(kept.get(c, F.col(c)).cast(types[c]).alias(c) for c in items.columns)), queue.join(keys, "key", "left_anti"), removed.join(gone, "key", "left_anti"), stored
+
+
+def complete(items: DataFrame, queue: DataFrame, removed: DataFrame, batch: DataFrame, as_of: Column, last_id: int, last_seq: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, queue, removed) of ``complete_batch``, with the batch in the order of its keys."""
+    ordered = batch.withColumn("pos", F.row_number().over(Window.orderBy("key")).cast("long"))
+    return complete_batch(items, queue, removed, ordered, as_of, last_id, last_seq)[:3]
+
+
+def complete_each(items: DataFrame, queue: DataFrame, removed: DataFrame, batch: DataFrame, as_of: Column, last_id: int, last_seq: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """As ``complete_batch`` with the valid items; keys of the invalid ones give up at once and are returned with their errors."""
+    broken = item_errors(F.col("name"), F.col("files"), F.col("total_size"), F.col("file_count"), F.col("piece_length"))
+    judged = batch.withColumn("errors", F.when(F.col("key").isNull(), F.array(F.lit("key"))).otherwise(broken))
+    bad = judged.where(F.size("errors") > 0).select("pos", "key", "errors")
+    done = complete_batch(items, queue, removed, judged.where(F.size("errors") == 0).drop("errors"), as_of, last_id, last_seq)
+    return done[0], give_up(done[1], bad, as_of), done[2], done[3], bad
 
 
 def last_wins(batch: DataFrame, key: str, position: str, value: str) -> DataFrame:
@@ -354,3 +408,14 @@ def set_setting(settings: DataFrame, audit: DataFrame, key: str, value: str, act
     detail = F.to_json(F.struct(F.col("value").alias("old"), F.col("new")))
     entry = rows.select(as_of.alias("at"), F.lit(actor).alias("actor"), F.lit("set_setting").alias("action"), F.col("key").alias("subject"), detail.alias("detail"))
     return both.select("key", F.coalesce("new", "value").alias("value")), audit.unionByName(entry.select(*audit.columns))
+
+
+def append_audit(audit: DataFrame, rows: DataFrame) -> DataFrame:
+    """``audit`` with rows (at, actor, action, subject, detail) added; one of the wrong length is an error, and then none is."""
+    length = {c: F.char_length(F.coalesce(c, F.lit(""))) for c in AUDIT}
+    wrong = F.lit(False)
+    for c, (least, most) in AUDIT.items():
+        wrong |= ~length[c].between(least, most)
+    if bad := rows.where(wrong).limit(3).collect():
+        raise ValueError(f"audit rows with texts too short or too long: {bad}")
+    return audit.unionByName(rows.select(*audit.columns))

@@ -33,31 +33,32 @@ class Index:
 
 
 def tokens_of(docs: DataFrame, field: str) -> DataFrame:
-    """(id, term, position) of a field. ASCII texts are tokenised in the JVM, only others in Python."""
+    """(id, len, term, position) of a field, len the number of its tokens. Latin texts are tokenised in the JVM, only others in Python."""
     column, single = FIELDS[field]
     text = X.truncated(F.coalesce(F.col(column), F.lit("")))
     rows = docs.select("id", text.alias("text"))
-    plain = X.is_ascii(F.col("text"))
-    other = rows.where(~plain).select("id", F.explode(X.tokens(F.col("text"), single)).alias("t")).select("id", "t.term", "t.position")
-    if single:  # ASCII texts have no CJK characters
-        return other
-    ascii_ = rows.where(plain).select("id", F.explode(X.ascii_tokens(F.col("text"))).alias("t")).select("id", "t.term", "t.position")
-    return ascii_.unionByName(other)
+    plain = X.is_latin(F.col("text"))
+    each = lambda part, tokens: part.select("id", tokens.alias("ts")).select("id", F.size("ts").alias("len"), F.explode("ts").alias("t")).select("id", "len", "t.term", "t.position")
+    other = each(rows.where(~plain), X.tokens(F.col("text"), single))
+    # Latin texts have no CJK characters.
+    return other if single else each(rows.where(plain), X.latin_tokens(F.col("text"))).unionByName(other)
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
     """Postings of all fields. A document's positions of a term are gathered, never a term's documents."""
     each = [tokens_of(docs, f).withColumn("field", F.lit(f)) for f in FIELDS]
     tokens = reduce(DataFrame.unionByName, each)
-    grouped = tokens.groupBy("field", "id", "term").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    return grouped.select("field", "term", "id", F.size("positions").alias("tf"), "positions")
+    grouped = tokens.groupBy("field", "id", "term").agg(F.array_sort(F.collect_list("position")).alias("positions"), F.first("len").cast("long").alias("len"))
+    return grouped.select("field", "term", "id", F.size("positions").alias("tf"), "positions", "len")
 
 
 def build(docs: DataFrame) -> Index:
-    postings = postings_of(docs)
-    lengths = postings.groupBy("field", "id").agg(F.sum("tf").alias("len"))
-    full = postings.join(lengths, ["field", "id"]).select("field", "term", "id", "tf", "positions", "len")
-    return Index(docs, full, terms_of(full), fields_of(lengths, docs))
+    return of_postings(docs, postings_of(docs))
+
+
+def of_postings(docs: DataFrame, postings: DataFrame) -> Index:
+    lengths = postings.groupBy("field", "id").agg(F.first("len").alias("len"))
+    return Index(docs, postings, terms_of(postings), fields_of(lengths, docs))
 
 
 def terms_of(postings: DataFrame) -> DataFrame:

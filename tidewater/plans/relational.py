@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewater.functions import scalars as S
 from tidewater.operators import catalogue, maintain, network
@@ -13,35 +12,6 @@ from tidewater.registry import query, table
 NOW = f"TIMESTAMP '{T.AS_OF}'"
 
 
-@query("lookup_preferred_match", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7 OR o_custkey = 7 ORDER BY (o_orderkey = 7) DESC, o_orderkey LIMIT 1")
-def _(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey = 7 OR o_custkey = 7")
-    return o.orderBy((F.col("o_orderkey") == 7).desc(), "o_orderkey").limit(1).select("o_orderkey", "o_custkey")
-
-
-@query(
-    "feed_page_window",
-    """WITH p AS (SELECT o_orderkey AS seq, length(o_orderpriority)::BIGINT AS bytes FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 9000 ORDER BY 1 LIMIT 1000)
-    SELECT * FROM (SELECT seq, bytes, coalesce(sum(bytes) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM p) WHERE before < 4000""",
-)
-def _(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey > 100 AND o_orderkey <= 9000")
-    page = o.select(F.col("o_orderkey").alias("seq"), F.length("o_orderpriority").cast("long").alias("bytes")).orderBy("seq").limit(1000)
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return page.withColumn("before", before).where("before < 4000")
-
-
-@query(
-    "feed_union_purges",
-    """SELECT * FROM (SELECT o_orderkey AS seq, o_orderkey AS id, true AS visible FROM orders WHERE o_orderkey > 50 AND o_orderkey <= 5000
-    UNION ALL SELECT c_custkey * 3 AS seq, c_custkey AS id, false AS visible FROM customer WHERE c_custkey * 3 > 50 AND c_custkey * 3 <= 5000) ORDER BY seq, id, visible LIMIT 1000""",
-)
-def _(spark, sf):
-    live = table(spark, sf, "orders").where("o_orderkey > 50 AND o_orderkey <= 5000").select(F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("id"), F.lit(True).alias("visible"))
-    gone = table(spark, sf, "customer").where("c_custkey * 3 > 50 AND c_custkey * 3 <= 5000").select((F.col("c_custkey") * 3).alias("seq"), F.col("c_custkey").alias("id"), F.lit(False).alias("visible"))
-    return live.unionByName(gone).orderBy("seq", "id", "visible").limit(1000)
-
-
 @query("files_text_ordered_agg", f"WITH {T.FILES} SELECT id, string_agg(path, chr(10) ORDER BY n, path, size) AS files FROM f GROUP BY id")
 def _(spark, sf):
     return T.item_files(spark, sf).select("id", catalogue.files_text(F.col("files")).alias("files"))
@@ -73,32 +43,17 @@ def _(spark, sf):
 
 @query(
     "file_totals",
-    f"WITH {T.FILES} SELECT id, sum(size)::BIGINT AS total_size, count(*) AS file_count FROM f GROUP BY id",
-)
-def _(spark, sf):
-    return T.item_files(spark, sf).select("id", F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f["size"]).alias("total_size"), F.size("files").cast("long").alias("file_count"))
-
-
-@query(
-    "hydrate_in_order",
-    """SELECT p.turn AS pos, d.doc_id AS id, d.lang FROM (SELECT turn, conv_id AS id FROM conversations WHERE turn < 2) p JOIN documents d ON d.doc_id = p.id WHERE d.n_chars > 300""",
+    "SELECT l_orderkey AS id, sum(floor(l_extendedprice))::BIGINT AS total_size, count(*) AS file_count FROM lineitem GROUP BY 1",
 )
 def _(spark, sf):
-    return _hydrated(spark, sf, table(spark, sf, "conversations").where("turn < 2"))
+    """Totals as the parser of binary metadata makes them, of file lists encoded for it."""
+    from tidewater.sources import metadata
 
-
-@query(
-    "hydrate_in_order_all",
-    """SELECT p.turn AS pos, d.doc_id AS id, d.lang FROM conversations p JOIN documents d ON d.doc_id = p.conv_id WHERE d.n_chars > 300""",
-)
-def _(spark, sf):
-    return _hydrated(spark, sf, table(spark, sf, "conversations"))
-
-
-def _hydrated(spark, sf, turns):
-    ids = turns.select(F.col("turn").alias("pos"), F.col("conv_id").alias("id"))
-    docs = table(spark, sf, "documents").where("n_chars > 300").select(F.col("doc_id").alias("id"), "lang", F.lit(None).cast("timestamp").alias("deleted_at"))
-    return ids.join(catalogue.visible(docs), "id").select("pos", "id", "lang")
+    text = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
+    files = F.transform("files", lambda f: F.concat(F.lit("d6:lengthi"), f["size"].cast("string"), F.lit("e4:pathl"), F.array_join(F.transform(F.split(f["path"], "/"), text), ""), F.lit("ee")))
+    body = F.concat(F.lit("d5:filesl"), F.array_join(files, ""), F.lit("e4:name4:item12:piece lengthi16384e6:pieces20:"), F.lit("x" * 20), F.lit("e"))
+    rows = T.item_files(spark, sf).select("id", body.cast("binary").alias("data"))
+    return metadata.parse_items(rows).select("id", "total_size", "file_count")
 
 
 # --- observations
@@ -108,35 +63,6 @@ def _(spark, sf):
     return maintain.merge_observations(T.observations(spark, sf))
 
 
-@query("observe_known_join", f"WITH {T.OBSERVATIONS}, m AS (SELECT key, sum(sightings)::BIGINT AS sightings FROM b WHERE sightings > 0 GROUP BY key) SELECT key, sightings, c_name FROM m JOIN customer ON c_custkey = key")
-def _(spark, sf):
-    known = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), "c_name")
-    return maintain.merge_observations(T.observations(spark, sf)).join(known, "key").select("key", "sightings", "c_name")
-
-
-def _named(spark, sf):
-    p = table(spark, sf, "supplier")
-    return p.select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("key"), (F.col("s_suppkey") * 2).alias("v1"), (F.col("s_suppkey") * 3).alias("v2"))
-
-
-@query(
-    "observe_alias_join",
-    f"""WITH {T.OBSERVATIONS}, m AS (SELECT key, sum(sightings)::BIGINT AS n FROM b WHERE sightings > 0 GROUP BY key)
-    SELECT s_suppkey AS id, sum(n)::BIGINT AS n FROM m JOIN supplier ON key = s_suppkey OR key = s_suppkey * 2 OR key = s_suppkey * 3 GROUP BY 1""",
-)
-def _(spark, sf):
-    """An OR join as an equi-join with the alias table."""
-    names = _named(spark, sf).select("id", F.explode(F.array_distinct(F.array("key", "v1", "v2"))).alias("alias"))
-    merged = maintain.merge_observations(T.observations(spark, sf))
-    return merged.join(names, F.col("key") == F.col("alias")).groupBy("id").agg(F.sum("sightings").alias("n"))
-
-
-@query("observe_unknown_anti", f"WITH {T.OBSERVATIONS}, m AS (SELECT key, sum(sightings)::BIGINT AS sightings FROM b WHERE sightings > 0 GROUP BY key) SELECT key, sightings FROM m WHERE key NOT IN (SELECT s_suppkey FROM supplier)")
-def _(spark, sf):
-    known = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"))
-    return maintain.merge_observations(T.observations(spark, sf)).join(known, "key", "left_anti").select("key", "sightings")
-
-
 @query(
     "observe_enqueue",
     f"""WITH {T.OBSERVATIONS}, m AS (SELECT key, sum(sightings)::BIGINT AS sightings, bool_or(priority) AS priority FROM b WHERE sightings > 0 GROUP BY key), {T.QUEUE}
@@ -232,13 +158,6 @@ def _(spark, sf):
     return maintain.scrape_due(items, 5000, T.as_of(), 800_000_000, 900_000_000).select("id", "last_scraped_at")
 
 
-@query("purge_biggest_first", "SELECT o_orderkey AS id, o_totalprice AS total_size FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
-def _(spark, sf):
-    before = F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total_size"), F.col("o_orderdate").alias("deleted_at"))
-    return o.where(F.col("deleted_at") < before).orderBy(F.col("total_size").desc(), "id").limit(50).select("id", "total_size")
-
-
 def _removed(spark, sf):
     s = table(spark, sf, "supplier")
     return s.select(F.col("s_suppkey").alias("key"), F.timestamp_seconds(F.lit(1_706_000_000) + F.col("s_suppkey") * 3600).alias("removed_at"), (F.col("s_suppkey") % 4).cast("int").alias("removals"), (F.col("s_suppkey") % 6).alias("sightings"))
@@ -348,11 +267,13 @@ def _(spark, sf):
 
 @query(
     "majority_vote",
-    """WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_type)) AS v FROM events WHERE event_type <> 'click' GROUP BY 1), c AS (SELECT v AS value, count(*) AS votes FROM l GROUP BY 1)
-    SELECT value, votes, (SELECT sum(votes) FROM c)::BIGINT AS total FROM c WHERE votes >= 3 AND 3 * votes > 2 * (SELECT sum(votes) FROM c)""",
+    """WITH l AS (SELECT user_id, arg_max(CASE WHEN user_id % 4 = 0 THEN event_type ELSE 'view' END, (ts, CASE WHEN user_id % 4 = 0 THEN event_type ELSE 'view' END)) AS v FROM events GROUP BY 1),
+    c AS (SELECT v AS value, count(*) AS votes FROM l GROUP BY 1) SELECT value, votes, (SELECT sum(votes) FROM c)::BIGINT AS total FROM c WHERE votes >= 3 AND 3 * votes > 2 * (SELECT sum(votes) FROM c)""",
 )
 def _(spark, sf):
-    votes = table(spark, sf, "events").where("event_type <> 'click'").select(F.col("user_id").alias("voter"), F.col("event_type").alias("value"), F.col("ts").alias("at"))
+    """Three of four users agree."""
+    value = F.when(F.col("user_id") % 4 == 0, F.col("event_type")).otherwise("view")
+    votes = table(spark, sf, "events").select(F.col("user_id").alias("voter"), value.alias("value"), F.col("ts").alias("at"))
     return network.majority(votes, 3, 10**9, T.as_of())
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewater import session
 
@@ -45,8 +44,3 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return _ORACLES
-
-
-@query("scan_visible", "SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 1000")
-def _scan_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.col("n_chars") > 1000).select("doc_id", "lang", "n_chars")

@@ -184,3 +184,50 @@ class NodeTable:
             for i in waiting[: max(len(waiting) - self.K, 0)]:
                 del nodes[i]
         return (placed, count()), {"nodes": nodes, "depth": depth}
+
+
+class Secrets:
+    """Numbers of the current and the previous secret of announce tokens: a turn each interval, and after two missed ones neither stays."""
+
+    outputs = "current int, previous int, turned boolean"
+
+    def __init__(self, interval: float = 300):
+        self.interval = interval
+
+    def start(self) -> Any:
+        return None
+
+    def event(self, state, at, row):
+        if state is None:
+            return (1, 0, False), [1, 0, at]
+        current, previous, since = state
+        if at - since < self.interval:
+            return (current, previous, False), state
+        state = [current + 2, current + 1, at] if at - since >= 2 * self.interval else [current + 1, current, at]
+        return (state[0], state[1], True), state
+
+
+class Pacing:
+    """When a datagram may go (``row.address, ok``): so long after the last one to its address, and at the rate of one bucket for all.
+
+    Both waits must be within ``most``; a refused one, or one that then could not be sent (not ``ok``), gives its token and its
+    place back. Events are those of one sender.
+    """
+
+    outputs = "sent boolean, wait double"
+
+    def __init__(self, spacing: float = 1.0, rate: float = 12_000, burst: int = 12_000, most: float = 2.0):
+        self.spacing, self.emission, self.burst, self.most = spacing, 1.0 / rate, burst, most
+
+    def start(self) -> Any:
+        return [{}, 0.0]
+
+    def event(self, state, at, row):
+        free, arrival = state
+        free = {a: t for a, t in free.items() if t > at}
+        slot = max(free.get(row.address, at), at)
+        following = max(arrival, at) + self.emission
+        wait = max(slot - at, following - at - self.emission * self.burst, 0.0)
+        if wait > self.most + 1e-9 or not row.ok:
+            return (False, round(wait, 6)), [free, arrival]
+        return (True, round(wait, 6)), [free | {row.address: at + wait + self.spacing}, following]
