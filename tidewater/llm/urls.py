@@ -8,7 +8,8 @@ The model is trained here, from the small labelled table below, by full-batch gr
 expression over a single row; it is ``BUCKETS`` + 1 numbers, put into the scoring expression as a literal. Everything is
 Catalyst expressions: no Python runs on executors, and scoring is a projection of the scan without a shuffle.
 A labelled table of one's own may be given; at most ``MAX_LABELLED`` rows of it are used (the first by url).
-Repeated rows are judged one by one, empty tables give empty results.
+Repeated rows are judged one by one, empty tables give empty results. A very long url is one row of n-grams. ``digest`` reads its two
+columns only; ``features`` and ``judge`` add columns that begin with two underscores and replace the input's of those names.
 """
 
 from __future__ import annotations
@@ -28,22 +29,23 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 #: The labelled table: urls of unwanted pages, then of wanted ones.
 UNWANTED = (
-    "https://spam-farm.example.org/en/101", "http://www.spam-farm.example/fr/7.html", "https://spamlinks.example.com/de/3", "http://m.link-farm.example.org/x/4",
-    "https://casino-win.example.net/en/55", "http://blog.casino-win.example/es/9", "https://best-casino.example.com/slots/1", "http://online-casino.example.org/en/12?page=2",
-    "https://free-bets.example.net/en/8", "http://freebets.example.com/odds", "https://sports-bets.example.org/fr/22", "http://www.bet-win.example/en/9#top",
-    "https://cheap-pills.example.net/de/71", "http://blog.cheap-pills.example.com/en/4", "https://pills-online.example.org/order", "http://buy-pills.example/en/1",
-    "https://adult-x.example.com/en/6", "http://www.adult-x.example.org/es/77", "https://xxx-adult.example.net/video/5", "http://adultcams.example/live",
-    "https://ads-track.example.com/en/30", "http://m.ads-track.example.net/click?id=9", "https://ad-tracker.example.org/pixel", "http://track-ads.example/en/44.html",
-    "https://free-loans.example.com/apply", "http://payday-loan.example.org/en/2", "https://win-prizes.example.net/claim", "http://free-prize.example.com/fr/5",
+    "http://megaspam.test/en/1", "https://www.spammy-offers.test/fr/31", "http://spam4u.test/x", "https://linkfarm9.test/de/3", "http://m.farm-of-links.test/en/8",
+    "https://royal-casino.test/slots", "http://casino777.test/en/play?bonus=1", "https://poker-casinos.test/de/2", "http://winbig-casino.test/es/9", "https://jackpot-win.test/fr/4",
+    "https://betting-tips.test/odds", "http://www.bets24.test/en/6", "https://sportsbet.test/live", "http://free-bet-bonus.test/es/1", "https://bookie-bets.test/fr/77",
+    "http://discount-pills.test/order", "https://pillstore.test/en/12", "http://cheapmeds.test/de/5", "https://www.cheap-drugs-pills.test/fr/2", "http://rx-pills24.test/en/30.html",
+    "https://adultvideos.test/en/1", "http://www.adults-only.test/x/2", "https://xxxcams.test/live", "http://hot-adult-chat.test/es/4", "https://sex-adult.test/en/5",
+    "https://ads-server.test/click?id=1", "http://adsnet.test/en/pixel", "https://track.adtrack.test/p", "http://trackers-ads.test/de/9", "https://m.click-track.test/en/3",
+    "https://fast-payday.test/apply", "http://cheap-loans.test/en/2", "https://prize-winner.test/claim", "http://winner-lottery.test/fr/5", "https://replica-watches.test/buy",
 )
 WANTED = (
-    "https://m.thather.example.com/en/25#top", "http://therha.example.com/en/676", "https://blog.tiontion.example.com/en/853/", "http://blog.ththan.example.org/en/960",
-    "https://m.therou.example.com/en/474.html", "https://ththin.example.com/en/671?utm_source=feed", "http://www.tionsh.example.org/fr/120/", "https://tionsh.example.net/en/4",
-    "https://ththon.example.com/es/533/", "http://thersh.example.org/de/18", "https://blog.therst.example.org/de/9?page=2&ref=x", "http://m.ththing.example.com/fr/825?page=2&ref=x",
-    "https://news.example.com/2024/05/city-council", "http://www.library.example.org/catalogue/77", "https://docs.example.net/en/reference.html", "http://university.example.org/fr/departments",
-    "https://museum.example.com/es/collection/4", "http://blog.gardener.example.net/en/tomatoes", "https://weather.example.org/de/berlin", "http://recipes.example.com/en/bread.html",
-    "https://www.history.example.org/fr/1848", "http://m.travel.example.com/es/madrid", "https://science.example.net/en/physics#top", "http://forum.example.org/en/thread/901",
-    "https://ththhe.example.com/de/311", "http://ththly.example.org/en/64.html", "https://ththnd.example.net/fr/9", "http://blog.ththtion.example.com/en/15?utm_source=feed",
+    "https://news.test/2024/05/city-council", "http://www.publiclibrary.test/catalogue/77", "https://docs.test/en/reference.html", "http://university.test/fr/departments",
+    "https://museum.test/es/collection/4", "http://blog.gardener.test/en/tomatoes", "https://weather.test/de/berlin", "http://recipes.test/en/bread.html",
+    "https://www.history.test/fr/1848", "http://m.travelling.test/es/madrid", "https://physics.test/en/optics#top", "http://forum.test/en/thread/901",
+    "https://thomson.test/en/6", "http://blog.northern.test/de/12", "https://theatre.test/fr/3/", "http://www.nation.test/en/44", "https://station.test/es/8?page=2&ref=x",
+    "http://mother.test/en/15?utm_source=feed", "https://m.weatherman.test/en/2#top", "http://thunder.test/en/480.html", "https://thinking.test/en/7", "http://blog.method.test/fr/9/",
+    "https://education.test/en/5", "http://national-parks.test/en/11", "https://the-herald.test/de/21", "http://www.thesis.test/en/300", "https://athens.test/es/6?page=2",
+    "http://translation.test/fr/18", "https://m.other-things.test/en/1", "http://stonebridge.test/de/2.html", "https://shanghai.test/en/9", "http://hearth.test/en/64",
+    "https://blog.string-theory.test/en/4", "http://thirteen.test/fr/13", "https://motion.test/en/70",
 )
 
 
@@ -76,17 +78,17 @@ def grams(text: str, buckets: int = BUCKETS) -> str:
     return f"array_distinct(concat({', '.join(each)}))"
 
 
-def features(pages: DataFrame) -> DataFrame:
+def features(pages: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``pages`` with ``__host, __path, __x``: host and path are marked off, so that their n-grams differ."""
     parts = pages.withColumn("__host", host(F.col("url"))).withColumn("__path", path(F.col("url")))
     marked = parts.withColumn("__marked", F.concat(F.lit("^"), F.col("__host"), F.lit("|"), F.regexp_replace("__path", "[0-9]+", "0")))
-    return marked.withColumn("__x", F.expr(grams("__marked"))).drop("__marked")
+    return marked.withColumn("__x", F.expr(grams("__marked", buckets))).drop("__marked")
 
 
 def train(spark: SparkSession, table: DataFrame | None = None, buckets: int = BUCKETS, epochs: int = EPOCHS) -> list[float]:
     """Weights by bucket, the bias last. The sample is bounded, so one row holds it."""
     table = labelled(spark) if table is None else table
-    rows = features(table.where("url IS NOT NULL AND label IS NOT NULL").orderBy("url", "label").limit(MAX_LABELLED))
+    rows = features(table.where("url IS NOT NULL AND label IS NOT NULL").orderBy("url", "label").limit(MAX_LABELLED), buckets)
     # A repartition of the one row keeps what is above it from being worked out again inside the loops below it.
     row = rows.agg(F.sort_array(F.collect_list(F.struct("url", "label", "__x"))).alias("r")).repartition(1)
     by_row = row.select(F.expr("transform(r, e -> e.label)").alias("y"), F.expr("transform(r, e -> e.__x)").alias("x")).repartition(1)
@@ -113,7 +115,7 @@ def score(weights: list[float]) -> Column:
 def judge(pages: DataFrame, weights: list[float] | None = None, rules=RULES, threshold: float = 0.5) -> DataFrame:
     """``pages`` with ``__host, __path, __rule, __verdict, __score``."""
     weights = train(pages.sparkSession) if weights is None else weights
-    rows = features(pages).withColumn("__score", score(weights)).withColumn("__found", rule(F.col("__host"), F.col("__path"), rules))
+    rows = features(pages, len(weights) - 1).withColumn("__score", score(weights)).withColumn("__found", rule(F.col("__host"), F.col("__path"), rules))
     verdict = F.coalesce(F.col("__found.verdict"), F.when(F.col("__score") >= threshold, "block").otherwise("allow"))
     return rows.withColumn("__verdict", verdict).withColumn("__rule", F.col("__found.rule")).drop("__x", "__found")
 
