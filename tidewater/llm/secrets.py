@@ -7,7 +7,8 @@ within scopes of ``REACH`` code points around each identifier, and a weak one is
 there too: an opaque token with an identifier, an account with a secret, an endpoint with both.
 
 A span is the whole match in code points, end exclusive. Null and empty texts have none; every row is scanned whole and
-by itself, so no shuffle and nothing shared between repeated rows. The work on a text is linear but for sorting its parts.
+by itself, so no shuffle and nothing shared between repeated rows. The work on a text is linear but for sorting its parts, however long
+it is. An empty table gives no rows. Only doc_id and text are read, so further columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
