@@ -6,19 +6,21 @@ a new policy needs no text. Ablations group the ledger by its bits (at most 2**r
 corpus) and derive each rule's share, its sole failures and what would be kept without it.
 
 Null and empty texts have no words; they fail ``few_words`` like any text of under ten words. Repeated rows are
-judged one by one. Columns of the input that clash with ledger columns are replaced by the ledger's.
+judged one by one, an empty table gives an empty ledger. A very long text costs some 60 bytes a word. Columns of the input that clash with
+ledger columns are replaced by the ledger's; ``keep_good`` returns all columns of the input as they are.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.textkit import SPACES
+from tidewater import shared
+from tidewater.llm.textkit import SPACES, hash_words, window_hashes
 
 SYMBOLS = "#*$%&|<>"  # fixed value
 WINDOW = 5
@@ -47,20 +49,23 @@ def mask(rules: tuple[str, ...]) -> int:
 
 
 def measure(text: str | None) -> tuple[int, ...]:
-    """The measurements of one whole text, in the order of MEASURES. Words are runs of bytes outside SPACES."""
+    """The measurements of one whole text, in the order of MEASURES. Words are runs of bytes outside SPACES, compared by 64-bit hashes."""
     if not text:
         return (0,) * len(MEASURES)
-    words = text.encode("utf-8", "surrogatepass").split()  # bytes.split() splits at SPACES and nothing else
-    n = len(words)
+    hashes = hash_words([text.encode("utf-8", "surrogatepass")]).hashes
+    n = len(hashes)
     lines = [line for line in text.split("\n") if line.strip(SPACES.decode())]
-    windows = list(zip(*(words[i:] for i in range(WINDOW))))
     covered = 0
-    if len(set(windows)) < len(windows):
-        found, end = Counter(windows), 0
-        for i, window in enumerate(windows):
-            if found[window] > 1:
-                covered += i + WINDOW - max(i, end)
-                end = i + WINDOW
+    if n > WINDOW:
+        # Windows are told apart by a hash of their words' hashes, so a word costs a few numbers and no object.
+        windows = window_hashes(hashes, WINDOW)
+        _, place, count = np.unique(windows, return_inverse=True, return_counts=True)
+        if len(count) < len(windows):
+            edge = np.zeros(n + 1, np.int64)
+            at = np.flatnonzero(count[place] > 1)
+            edge[at] += 1
+            edge[at + WINDOW] -= 1
+            covered = int(np.count_nonzero(np.cumsum(edge[:n])))
     return (
         n,
         len(text) - sum(text.count(c) for c in SPACES.decode()),
@@ -100,10 +105,13 @@ def verdict(policy: str = CURRENT) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long")) == 0
 
 
-def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """For each rule of the policy: documents, how many fail it, fail it alone, are kept, and would be kept without it."""
+def ablations(rows: DataFrame, policy: str = CURRENT, weight: str | None = None) -> DataFrame:
+    """For each rule of the policy: documents, how many fail it, fail it alone, are kept, and would be kept without it.
+
+    ``rows`` is a ledger, or one already counted by its bits in the column ``weight``.
+    """
     bits = F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long")).alias("bits")
-    groups = rows.groupBy(bits).agg(F.count("*").alias("n"))
+    groups = rows.groupBy(bits).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     rules = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(mask((rule,))).cast("long").alias("bit")) for rule in POLICIES[policy]))
     each = groups.select("bits", "n", F.explode(rules).alias("r")).select("bits", "n", "r.rule", "r.bit")
     return each.groupBy("rule").agg(
@@ -139,8 +147,18 @@ def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     return judged.where(verdict(policy)).select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)))
 
 
+def ablation_digest(docs: DataFrame) -> DataFrame:
+    """Ablations of every version of the policy, from one ledger."""
+    rows, _ = shared.written(ledger(docs.select("doc_id", "text")).groupBy("fail_bits").agg(F.count("*").alias("n")), "ledger")
+    found = None
+    for policy in POLICIES:
+        one = ablations(rows, policy, "n").select(F.lit(policy).alias("policy"), "*")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 _BITS = " | ".join(f"(CASE WHEN {condition} THEN {1 << i} ELSE 0 END)" for i, condition in enumerate(RULES.values()))
-ORACLE = rf"""
+_LEDGER = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -153,7 +171,14 @@ m AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words,
              len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
              coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (rid)),
 b AS (SELECT *, ({_BITS})::BIGINT AS fail_bits FROM m)
+"""
+ORACLE = rf"""{_LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        (fail_bits & {mask(POLICIES[CURRENT])}) = 0 AS kept, n_lines, fail_bits FROM b
 """
+_BIT = {rule: 1 << i for i, rule in enumerate(RULES)}
+ABLATION_ORACLE = f"""{_LEDGER}, p AS (SELECT * FROM (VALUES {', '.join(f"('{name}', '{rule}', {_BIT[rule]}, {mask(rules)})" for name, rules in POLICIES.items() for rule in rules)}) t(policy, rule, bit, mask))
+SELECT policy, rule, count(*)::BIGINT AS n_docs, count(*) FILTER (WHERE fail_bits & bit <> 0)::BIGINT AS n_fail, count(*) FILTER (WHERE fail_bits & mask = bit)::BIGINT AS n_fail_alone,
+       count(*) FILTER (WHERE fail_bits & mask = 0)::BIGINT AS n_kept, count(*) FILTER (WHERE fail_bits & mask IN (0, bit))::BIGINT AS n_kept_without FROM b, p GROUP BY policy, rule
+"""
