@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,10 +69,21 @@ def test_positions_and_ranks(spark, mix, schedules):
     assert [(r.position, r.doc_id) for r in found] == sorted((r.position, r.doc_id) for r in found)
 
 
-def test_order_is_a_query(spark, mix, empty, tmp_path):
-    from tidewater.llm import catalog
-
-    mix.write.parquet(f"{tmp_path}/documents.parquet")
-    found = catalog.queries()["op4_source_mix_order"](spark, str(tmp_path))
-    assert found.columns == ["doc_id", "copy", "position", "rank"] and found.count() == curriculum.schedule(mix).count()
-    assert curriculum.order(empty).count() == 0
+def test_each_document_has_its_first_occurrence(spark, mix, docs, empty):
+    """Also those that are never taken, and repeated rows."""
+    first = {r.doc_id: (r.position, r["rank"]) for r in curriculum.order(mix).collect() if r["copy"] == 0}
+    taken = Counter(r.doc_id for r in curriculum.schedule(mix).collect())
+    found = curriculum.digest(mix).collect()
+    assert {r.doc_id: (r.first_position, r.first_rank) for r in found if r.taken} == first
+    assert all(r.taken == r.size * taken[r.doc_id] for r in found) and len(found) == mix.count()
+    assert Counter(r.doc_id for r in curriculum.digest(docs).collect()) == Counter(r.doc_id for r in docs.collect())
+    assert curriculum.order(empty).count() == curriculum.digest(empty).count() == 0
+
+
+def test_the_query_s_plan_inverts_the_schedule(spark, mix, monkeypatch):
+    """The positions are made, not pruned."""
+    plans = []
+    written = shared.written
+    monkeypatch.setattr(shared, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df, name))
+    curriculum.digest(mix)
+    assert any("SQRT" in p.upper() and "transform(" in p and "RepartitionByExpression" in p for p in plans)

@@ -28,7 +28,7 @@ def test_stages_of_an_empty_table(spark, empty):
         assert docs.count() == 0
 
 
-@pytest.mark.parametrize("name", ["op3_quality_rules", "op4_source_mix", "op7_decontaminate", "op10_warc"])
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op3_quality_ablations", "op4_source_mix", "op5_substring_dedup", "op7_decontaminate", "op10_warc"])
 def test_queries_equal_their_sql(spark, name):
     from tidewater.llm import catalog
 

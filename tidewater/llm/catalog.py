@@ -28,19 +28,20 @@ def queries() -> dict[str, Query]:
         "op2_url_filter": _over("pages", urls.digest),
         "op3_quality_rules": _over("documents", quality.digest),
         "op4_source_mix": _over("documents", curriculum.digest),
-        "op4_source_mix_order": _over("documents", curriculum.order),
         "op5_substring_dedup": _over("documents", substrings.digest),
         "op6_token_files": _over("documents", tokens.digest),
         "op7_decontaminate": _over("documents", decontaminate.digest, "benchmark"),
         "op8_secret_scan": _over("documents", secrets.digest),
         "op9_near_dedup": _over("documents", neardup.digest),
         "op10_warc": _over("pages", warc.digest),
+        "op3_quality_ablations": _over("documents", quality.ablation_digest),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality.ORACLE,
+        "op3_quality_ablations": quality.ABLATION_ORACLE,
         "op4_source_mix": curriculum.ORACLE,
         "op5_substring_dedup": substrings.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,

@@ -10,9 +10,12 @@ Documents of a source are taken in the order of a hash, whole, pass after pass.
 The prefix sums are in two levels: sums of buckets of about ``BUCKET_ROWS`` documents, accumulated per source, and
 running sums within a bucket. So no task sorts a hot source; a bucket's size does not grow with the corpus.
 
+A query's rows are read off the sorted mix: ``digest`` has one for each document, with its first position and that one's rank.
+
 Size is the number of [^\x20\x09-\x0D]+ in the text; null and empty texts have size 0 and are taken 0 times. A null
 source is a source of its own, last in order. Rows are told apart by doc_id and text; repeated rows are taken
-separately, their order makes no difference. An empty table gives an empty result.
+separately, their order makes no difference. An empty table gives an empty result. ``schedule`` passes any further columns on,
+whatever their names; the others return columns of their own alone. A very long text is counted, and else only carried.
 """
 
 from __future__ import annotations
@@ -83,15 +86,20 @@ def sources(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     )
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULES, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The rows of ``docs`` with ``__size, __source_size, __target, __copies, __positions`` (times of its occurrences, ascending)."""
-    rows = docs.withColumns(
-        {
-            "__size": word_count("text"),
-            "__source": F.col("source").cast("string"),
-            "__hash": F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))),
-        }
+def keyed(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` as ``__c0``, ``__c1``, ..., so that no name clashes, with ``__id, __size, __source, __hash``."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(
+        *(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)),
+        F.col("doc_id").alias("__id"),
+        word_count("text").alias("__size"),
+        F.col("source").cast("string").alias("__source"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text)).alias("__hash"),
     )
+
+
+def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULES, max_epochs: int = MAX_EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``rows`` (see ``keyed``) with ``__source_size, __target, __positions`` (times of its occurrences, ascending)."""
     table, _ = shared.written(sources(rows.select(F.col("__source").alias("source"), F.col("__size").alias("size")), weights, max_epochs), "sources")
     table = table.select(*(F.col(c).alias(f"__{c}") for c in table.columns)).withColumnRenamed("__source", "__source_key")
     if table.count() <= BROADCAST_SOURCES:
@@ -102,7 +110,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULE
     sums = placed.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__sum"))
     up_to = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__sum").over(up_to), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("__source", "__bucket").orderBy("__hash", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__source", "__bucket").orderBy("__hash", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     running = placed.withColumn("__inner", F.coalesce(F.sum("__size").over(within), F.lit(0)))
     located = running.join(bases, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")), "inner").withColumn("__offset", F.col("__base") + F.col("__inner"))
     whole = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(0).cast("long")
@@ -116,56 +124,88 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULE
         times = each if times is None else F.when(F.col("__class") % len(schedules) == k, each).otherwise(times)
     empty = F.array().cast("array<double>")
     located = located.withColumn("__positions", F.when(F.col("__copies") > 0, times).otherwise(empty))
-    return located.select(*(F.col(f"`{c}`") for c in docs.columns), "__size", "__source_size", "__target", "__copies", "__positions")
+    return located.select(*rows.columns, "__source_size", "__target", "__positions")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every document. They hold counts only; ``order`` has the positions."""
-    return plan(docs.select("doc_id", "source", "text")).select(
-        "doc_id",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__size") * F.col("__copies")).alias("taken"),
-    )
-
-
-def _in_order(docs: DataFrame, **options) -> DataFrame:
-    """Every occurrence as a row with the columns of ``docs``, ``__copy`` and ``__position``, range-sorted by that."""
-    rows = plan(docs, **options).select(*(F.col(f"`{c}`") for c in docs.columns), F.posexplode("__positions").alias("__copy", "__position"))
-    return rows.repartitionByRange(F.col("__position"), F.col("doc_id")).sortWithinPartitions("__position", "doc_id")
+def _in_order(placed: DataFrame, outer: bool = False) -> DataFrame:
+    """Every occurrence as a row with ``__copy`` and ``__position``, range-sorted by that; ``outer``: rows without one come last."""
+    spread = F.posexplode_outer if outer else F.posexplode
+    rows = placed.select("*", spread("__positions").alias("__copy", "__position"))
+    order = [F.col("__position").asc_nulls_last(), F.col("__id"), F.col("__copy"), F.col("__hash")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def schedule(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every occurrence as a row with the columns of ``docs``, range-sorted by training position."""
-    return _in_order(docs, **options).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _in_order(plan(keyed(docs), **options)).select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
-def order(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, copy (from 0), position and rank (from 0, over the whole mix) of every occurrence, read off the sorted mix."""
-    mix = _in_order(docs.select("doc_id", "source", "text"), **options).select("doc_id", F.col("__copy").cast("long").alias("copy"), F.col("__position").alias("position"))
-    # The id counts the rows of a partition from its number in the bits above 33.
+def _ranked(docs: DataFrame, **options) -> DataFrame:
+    """Every occurrence, and each document without one, with its rank in the sorted mix (null without one). Words are counted once."""
+    sized, _ = shared.written(keyed(docs.select("doc_id", "source", "text")).select("__id", "__size", "__source", "__hash"), "sized")
+    mix = _in_order(plan(sized, **options), outer=True).withColumn("__taken", F.col("__size") * F.size("__positions")).drop("__positions")
+    # The id counts the rows of a partition from its number in the bits above 33; it is written before it is used.
     rows, _ = shared.written(mix.withColumn("__row", F.monotonically_increasing_id()), "mix")
     rows = rows.withColumn("__part", F.shiftright("__row", 33))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
     bases = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     ranked = rows.join(F.broadcast(bases), "__part")
-    return ranked.select("doc_id", "copy", "position", (F.col("__base") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    return ranked.withColumn("__rank", F.when(F.col("__position").isNotNull(), F.col("__base") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))))
+
+
+def digest(docs: DataFrame, **options) -> DataFrame:
+    """The contract's columns for every document, its first position and that one's rank, all read off the sorted mix."""
+    first = _ranked(docs, **options).where("coalesce(__copy, 0) = 0")
+    return first.select(
+        F.col("__id").alias("doc_id"),
+        F.col("__size").alias("size"),
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        F.col("__taken").alias("taken"),
+        F.col("__position").alias("first_position"),
+        F.col("__rank").alias("first_rank"),
+    )
+
+
+def order(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, copy (from 0), position and rank (from 0, over the whole mix) of every occurrence, read off the sorted mix."""
+    rows = _ranked(docs, **options).where("__copy IS NOT NULL")
+    return rows.select(F.col("__id").alias("doc_id"), F.col("__copy").cast("long").alias("copy"), F.col("__position").alias("position"), F.col("__rank").alias("rank"))
+
+
+def due_sql(fraction: str, schedule: tuple[tuple[float, float], ...]) -> str:
+    """What ``due`` says, as DuckDB's SQL."""
+    number = lambda x: f"'{x!r}'::DOUBLE"
+    found = ""
+    for t0, t1, w0, slope, before, area in reversed(_segments(schedule)):
+        rest = f"({fraction} * {number(float(area))} - {number(float(before))})"
+        move = f"(sqrt(greatest({number(w0 * w0)} + {number(2 * slope)} * {rest}, '0'::DOUBLE)) - {number(w0)}) / {number(slope)}" if slope else f"{rest} / {number(w0 or 1.0)}"
+        time = f"least(greatest({number(t0)} + {move}, {number(t0)}), {number(t1)})"
+        found = f"CASE WHEN {rest} < {number((t1 - t0) * (w0 + slope * (t1 - t0) / 2))} THEN {time} ELSE {found} END" if found else time
+    return found
 
 
-ORACLE = r"""
+ORACLE = (
+    r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS class, 1 + class AS weight FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
       / (sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
 o AS (SELECT min_by(level, source_size / weight) AS level FROM l WHERE 3 * source_size > level * weight),
-t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, coalesce(o.level, 'Infinity'::DOUBLE) * weight) AS target FROM l LEFT JOIN o ON true),
-r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole,
+t AS (SELECT source, class, source_size, least((3 * source_size)::DOUBLE, coalesce(o.level, 'Infinity'::DOUBLE) * weight) AS target FROM l LEFT JOIN o ON true),
+r AS (SELECT row_number() OVER () AS rid, h, class, doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN whole < 3 AND off + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, CASE WHEN size > 0 THEN whole + CASE WHEN whole < 3 AND off + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END ELSE 0 END AS copies FROM r),
+f AS (SELECT *, (i * source_size + off)::DOUBLE / target AS part FROM (SELECT *, unnest(range(copies)) AS i FROM n)),
+p AS (SELECT *, CASE class """
+    + " ".join(f"WHEN {k} THEN {due_sql('part', s)}" for k, s in enumerate(SCHEDULES))
+    + r""" END AS position FROM f),
+k AS (SELECT rid, i, position, row_number() OVER (ORDER BY position, doc_id NULLS FIRST, i, h) - 1 AS rank FROM p)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, position AS first_position, rank AS first_rank
+FROM n LEFT JOIN k ON n.rid = k.rid AND k.i = 0
 """
+)
