@@ -118,3 +118,38 @@ def test_ids_with_a_prefix(spark):
         n, got = min(r.bits, 160), bits(r.id)
         assert len(r.id) == 20 and got[:n] == bits(own)[:n] and got[n + 1 :] == bits(noise)[n + 1 :]
         assert n == 160 or got[n] == (str(1 - int(bits(own)[n])) if r.flip else bits(noise)[n])
+
+
+def test_addresses_of_both_families(spark):
+    from tidewater.functions import scalars as S
+    from tidewater.sources import metadata
+
+    rng = random.Random(6)
+    heads = [bytes(12), bytes(10) + b"\xff\xff", bytes.fromhex("20010000") + bytes(8), bytes.fromhex("2002"), bytes.fromhex("0064ff9b") + bytes(8), bytes.fromhex("20010db8"), bytes.fromhex("2001001f"), bytes.fromhex("3fff0fff"), bytes.fromhex("3fff10"), b"\xfe\x80", b"\x2a"]
+    inner = [bytes.fromhex(x) for x in ("0a000001", "08080808", "c0a80101", "e0000001", "00000001", "0000ffff", "00010000", "f7ffffff", "3f5757f5")]
+    rows = [None, b"", b"abc", bytes(16), bytes(15) + b"\x01"]
+    for head in heads:
+        rows += [(head + i).ljust(16, b"\x07")[:16] for i in inner] + [(head + rng.randbytes(16))[:16] for _ in range(20)]
+    rows += inner + [rng.randbytes(4) for _ in range(100)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, ip binary")
+    for r in df.select("i", S.address_global(F.col("ip")).alias("ok"), S.address_network(F.col("ip")).alias("net")).collect():
+        assert r.ok == metadata.is_global(rows[r.i]) and r.net == metadata.network_number(rows[r.i]), rows[r.i]
+
+
+def test_replies_are_cut_to_a_datagram():
+    from tidewater.sources import bencode, metadata
+
+    def sent(**fields):
+        data = metadata.encode_reply(b"tt", {"id": b"i" * 20, **fields})
+        assert data is None or len(data) <= 1024
+        return data and bencode.decode(data, bencode.KRPC)[b"r"]
+
+    assert sent(nodes=b"n" * 26 * 8)[b"nodes"] == b"n" * 26 * 8
+    cut = sent(values=[bytes([i % 250]) * 6 for i in range(200)], nodes=b"n" * 26 * 8)
+    assert cut[b"nodes"] == b"n" * 26 * 8 and cut[b"values"] == [bytes([i % 250]) * 6 for i in range(len(cut[b"values"]))]
+    assert len(sent(values=[b"v" * 6] * 200)[b"values"]) > len(cut[b"values"]) > 50
+    both = sent(samples=b"s" * 20 * 60, nodes=b"n" * 26 * 8, nodes6=b"m" * 38 * 8)
+    assert 0 < len(both[b"samples"]) < 1200 and len(both[b"samples"]) % 20 == 0 and both[b"nodes6"] == b"m" * 38 * 8
+    many = sent(samples=b"s" * 20, nodes=b"n" * 26 * 20, nodes6=b"m" * 38 * 20)
+    assert many[b"samples"] == b"" and len(many[b"nodes6"]) % 38 == 0 and many[b"nodes"] == b"n" * 26 * 20
+    assert sent(BFsd=b"b" * 1000) is None

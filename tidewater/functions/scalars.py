@@ -202,6 +202,10 @@ _RESERVED_V4 = (
 )
 
 
+# Global IPv6 prefixes that are for documentation and the like, in hexadecimal.
+_RESERVED_V6 = ("20010DB8", "2001001", "3FFF0")
+
+
 def ipv4_number(text: Column) -> Column:
     """The address as a number; null if it is not four bytes in decimal."""
     ok = text.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?!$)|$)){4}$")
@@ -226,6 +230,37 @@ def source_network(number: Column) -> Column:
     return F.shiftright(number, 8).bitwiseOR(F.lit(1 << 48))
 
 
+# --- addresses of 4 or 16 bytes, as expressions
+
+def _hexes(hex_: Column, at: int, n: int) -> Column:
+    """n hexadecimal digits from the place ``at`` (from 0) as a number."""
+    return F.conv(F.substring(hex_, at + 1, n), 16, 10).cast("long")
+
+
+def inner_ipv4(ip: Column) -> Column:
+    """The number of an IPv4 address, also where 16 bytes hold it as a mapped or compatible one; else null."""
+    h = F.hex(ip)
+    last = _hexes(h, 24, 8)
+    held = h.startswith("0" * 20 + "FFFF") | (h.startswith("0" * 24) & (last > 0xFFFF))
+    return F.when(F.octet_length(ip) == 4, _hexes(h, 0, 8)).when((F.octet_length(ip) == 16) & held, last)
+
+
+def address_global(ip: Column) -> Column:
+    """Is the address routed globally? That of a tunnel is judged by the IPv4 address inside; bytes that are no address are not."""
+    h, plain = F.hex(ip), inner_ipv4(ip)
+    last = _hexes(h, 24, 8)
+    tunnel = F.when(h.startswith("20010000"), F.lit(0xFFFFFFFF) - last).when(h.startswith("2002"), _hexes(h, 4, 8)).when(h.startswith("0064FF9B" + "0" * 16), last)
+    reserved = reduce(lambda a, b: a | b, (h.startswith(x) for x in _RESERVED_V6))
+    wide = F.when(tunnel.isNotNull(), ipv4_global(tunnel)).otherwise(h.substr(1, 1).isin("2", "3") & ~reserved)
+    return F.coalesce(F.when(plain.isNotNull(), ipv4_global(plain)).when(F.octet_length(ip) == 16, wide), F.lit(False))
+
+
+def address_network(ip: Column) -> Column:
+    """An IPv4 /24, tagged, or an IPv6 /48, as a number; null for bytes that are no address."""
+    plain = inner_ipv4(ip)
+    return F.when(plain.isNotNull(), source_network(plain)).when(F.octet_length(ip) == 16, _hexes(F.hex(ip), 0, 12))
+
+
 # --- distances of 160-bit ids
 
 def _words(id_: Column) -> list[Column]:

@@ -105,6 +105,39 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.source_network(S.ipv4_number(_ip())).alias("network"))
 
 
+#: Eight kinds of addresses around the same four bytes: plain, mapped, compatible, three tunnels, documentation and global.
+_KINDS = ("", "00000000000000000000FFFF", "0" * 24, "20010000" + "1" * 16, "2002", "0064FF9B" + "0" * 16, "20010DB8" + "2" * 16, "2A00" + "3" * 20)
+_V4 = "printf('%02X%02X%02X%02X', o_orderkey * 2654435761 % 256, o_custkey % 256, o_orderkey % 256, o_orderkey % 7)"
+_RESERVED = """(a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31)
+OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 192 AND b = 88 AND c = 99) OR (a = 192 AND b = 168) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113))"""
+
+
+def _address():
+    o = F.col("o_orderkey")
+    inner = F.concat(*(F.lpad(F.hex(x.cast("long")), 2, "0") for x in (o * 2654435761 % 256, F.col("o_custkey") % 256, o % 256, o % 7)))
+    head = F.element_at(F.array(*map(F.lit, _KINDS)), (o % 8 + 1).cast("int"))
+    return F.unhex(F.when(o % 8 == 4, F.concat(head, inner, F.lit("0" * 20))).otherwise(F.concat(head, inner)))
+
+
+@query(
+    "address_global",
+    f"""WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS kind, o_orderkey * 2654435761 % 256 AS a0, o_custkey % 256 AS b0, o_orderkey % 256 AS c0, o_orderkey % 7 AS d0 FROM orders),
+    i AS (SELECT *, CASE WHEN kind = 3 THEN 255 - a0 ELSE a0 END AS a, CASE WHEN kind = 3 THEN 255 - b0 ELSE b0 END AS b, CASE WHEN kind = 3 THEN 255 - c0 ELSE c0 END AS c FROM o)
+    SELECT o_orderkey, CASE WHEN kind = 7 THEN true WHEN kind = 6 THEN false WHEN kind = 2 AND a0 = 0 AND b0 = 0 THEN false ELSE NOT {_RESERVED} END AS ok FROM i""",
+)
+def _(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", S.address_global(_address()).alias("ok"))
+
+
+@query(
+    "address_network",
+    f"""WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS kind, {_V4} AS h, [{", ".join(f"'{k}'" for k in _KINDS)}][o_orderkey % 8 + 1] AS head FROM orders)
+    SELECT o_orderkey, CASE WHEN kind < 3 AND NOT (kind = 2 AND left(h, 4) = '0000') THEN 281474976710656 + ('0x' || left(h, 6))::BIGINT ELSE ('0x' || left(head || h, 12))::BIGINT END AS network FROM o""",
+)
+def _(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", S.address_network(_address()).alias("network"))
+
+
 @query("key_partition", "SELECT user_id, ('0x' || substr(sha1(user_id::VARCHAR), 1, 8))::BIGINT AS part FROM (SELECT DISTINCT user_id FROM events)")
 def _(spark, sf):
     return table(spark, sf, "events").select("user_id").distinct().select("user_id", S.partition_word(F.unhex(F.sha1(F.col("user_id").cast("string")))).alias("part"))

@@ -2,7 +2,9 @@
 
 A rule sees the events of one key in order (time, then id) and keeps a small state. ``replay`` runs it over a table, sorting
 within each key; ``stream`` runs it with ``transformWithStateInPandas``, sorting within a micro-batch. Both give the
-same rows for the same order of events. A key's rows are taken one by one, never held as a whole.
+same rows for the same order of events. ``replay`` takes a key's rows one by one and never holds them as a whole; ``stream`` holds
+a key's rows of one micro-batch, which ``maxFilesPerTrigger`` bounds. All events of a key go through one task, as a rule over
+their order must; a hot key is spread only by a finer key.
 """
 
 from __future__ import annotations
