@@ -153,3 +153,16 @@ def test_replies_are_cut_to_a_datagram():
     many = sent(samples=b"s" * 20, nodes=b"n" * 26 * 20, nodes6=b"m" * 38 * 20)
     assert many[b"samples"] == b"" and len(many[b"nodes6"]) % 38 == 0 and many[b"nodes"] == b"n" * 26 * 20
     assert sent(BFsd=b"b" * 1000) is None
+
+
+def test_connections_to_one_address():
+    rule, out = limits.Destination(active=2, begun=4, seconds=60), []
+    state = rule.start()
+    steps = [(0, "start", None), (1, "start", None), (2, "start", None), (3, "end", "connected"), (4, "start", None), (5, "end", "connected"), (6, "start", None), (7, "end", "connected"), (8, "start", None)]
+    steps += [(61, "start", None), (62, "end", "refused"), (100, "start", None), (242, "start", None), (243, "end", "error"), (842, "start", None), (843, "start", None)]
+    for at, kind, outcome in steps:
+        result, state = rule.event(state, at, Event(kind=kind, outcome=outcome))
+        out.append(result)
+    # Two at once; four begun in a minute; three minutes after a refusal and ten after another error.
+    assert [a for a, _ in out] == [True, True, False, False, True, False, True, False, False, True, False, False, True, False, False, True]
+    assert [n for _, n in out][:7] == [1, 2, 2, 1, 2, 1, 2]

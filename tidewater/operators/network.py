@@ -11,6 +11,7 @@ from tidewater.functions import scalars as S
 from tidewater.functions import sketches
 
 K, ALPHA, ROUNDS, CANDIDATES, PER_SUBNET = 8, 3, 8, 128, 8
+HINTS, HINT_KEYS, HINT_SECONDS = 8, 100_000, 300
 
 
 def corroborated(df: DataFrame, key: str, network: str, most: int = 4) -> DataFrame:
@@ -88,6 +89,29 @@ def union_peers(df: DataFrame, key: str, peer: str, order: str) -> DataFrame:
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", peer))), lambda x: x[peer]).alias("peers"))
 
 
+def remember(hints: DataFrame, batch: DataFrame, as_of: Column, ttl_seconds: int = HINT_SECONDS, per_key: int = HINTS, most_keys: int = HINT_KEYS) -> DataFrame:
+    """Hints (key, peer, at) with a batch added: a peer once, each for its time, the newest ``per_key`` of a key, and the ``most_keys`` keys last added to."""
+    age = lambda at: F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))
+    last = hints.select("key", "peer", "at").unionByName(batch.select("key", "peer", "at")).groupBy("key", "peer").agg(F.max("at").alias("at"))
+    live = last.where(age(F.col("at")) < ttl_seconds * 1_000_000)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("at"), F.desc("peer")))
+    kept = live.withColumn("__r", rank).where(F.col("__r") <= per_key).drop("__r")
+    used = kept.groupBy("key").agg(F.max("at").alias("used"))
+    surplus = max(used.count() - most_keys, 0)
+    if not surplus:
+        return kept
+    return kept.join(used.orderBy("used", "key").limit(surplus).select("key"), "key", "left_anti")
+
+
+def take(hints: DataFrame, keys: DataFrame, as_of: Column, ttl_seconds: int = HINT_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """(taken, hints): the live peers of the keys, newest first, and the hints without those keys."""
+    names = keys.select("key").distinct()
+    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))
+    live = hints.join(names, "key", "left_semi").where(age < ttl_seconds * 1_000_000)
+    newest = F.reverse(F.array_sort(F.collect_list(F.struct("at", "peer"))))  # at most ``per_key``
+    return live.groupBy("key").agg(F.transform(newest, lambda x: x["peer"]).alias("peers")), hints.join(names, "key", "left_anti")
+
+
 def sample(df: DataFrame, n: int, seed: int) -> DataFrame:
     """n rows, the same for the same seed: the least by a hash. A top-k; no row order matters."""
     return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns).limit(n)

@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import catalogue, metrics, nodes
+from tidewater.operators import catalogue, metrics, network, nodes
 from tidewater.plans import tables as T
 from tidewater.registry import query, table
 from tidewater.streaming import limits, stateful
@@ -108,6 +108,31 @@ def _(spark, sf):
     return stateful.replay(events, ["key"], "ts", ["event_id"], limits.Secrets(50_000)).select("event_id", "current", "previous", "turned")
 
 
+# --- hints
+
+_HINTS = """l AS (SELECT user_id AS key, event_type AS peer, max(ts) AS "at" FROM events WHERE ts < TIMESTAMP '2024-01-30' GROUP BY 1, 2), v AS (SELECT * FROM l WHERE "at" > TIMESTAMP '2024-01-30' - INTERVAL 10 DAY),
+k AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY "at" DESC, peer DESC) <= 3), u AS (SELECT key FROM k GROUP BY key ORDER BY max("at") DESC, key DESC LIMIT 12), h AS (SELECT * FROM k WHERE key IN (SELECT key FROM u))"""
+
+
+def _hints(spark, sf):
+    e = table(spark, sf, "events").where("ts < TIMESTAMP_NTZ '2024-01-30'").select(F.col("user_id").alias("key"), F.col("event_type").alias("peer"), F.col("ts").alias("at"))
+    now = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
+    old, new = e.where("day(at) < 15"), e.where("day(at) >= 15")
+    return network.remember(old, new, now, 864_000, 3, 12), now
+
+
+@query("hints_remembered", f"WITH {_HINTS} SELECT key, peer, \"at\" FROM h")
+def _(spark, sf):
+    return _hints(spark, sf)[0]
+
+
+@query("hints_taken", f"WITH {_HINTS} SELECT key, string_agg(peer, ',' ORDER BY \"at\" DESC, peer DESC) AS peers FROM h WHERE key % 2 = 0 GROUP BY key UNION ALL SELECT key, 'left' FROM h WHERE key % 2 = 1 GROUP BY key")
+def _(spark, sf):
+    hints, now = _hints(spark, sf)
+    taken, left = network.take(hints, hints.where("key % 2 = 0"), now, 864_000)
+    return taken.select("key", F.array_join("peers", ",").alias("peers")).unionByName(left.select("key", F.lit("left").alias("peers")).distinct())
+
+
 # --- metrics
 
 @query("counters_total", "SELECT count(*)::BIGINT AS received, (sum(user_id % 3))::BIGINT AS errors, (sum(CASE WHEN user_id % 2 = 0 THEN 1 END))::BIGINT AS sent FROM events")

@@ -231,3 +231,27 @@ class Pacing:
         if wait > self.most + 1e-9 or not row.ok:
             return (False, round(wait, 6)), [free, arrival]
         return (True, round(wait, 6)), [free | {row.address: at + wait + self.spacing}, following]
+
+
+class Destination:
+    """Connections to one address (``row.kind`` start or end, ``outcome`` of an end): so many at once, so many begun in ``seconds``, and none for
+    a while after a failure. An end that connected shuts nothing."""
+
+    outputs = "allowed boolean, active int"
+    SHUT = {"refused": 180, "timeout": 180, "error": 600}  # fixed values
+
+    def __init__(self, active: int = 2, begun: int = 10, seconds: float = 60):
+        self.active, self.begun, self.seconds = active, begun, seconds
+
+    def start(self) -> Any:
+        return [0, [], 0.0]
+
+    def event(self, state, at, row):
+        active, recent, shut = state
+        recent = [t for t in recent if at - t < self.seconds]
+        if row.kind == "end":
+            active = max(active - 1, 0)
+            return (False, active), [active, recent, max(shut, at + self.SHUT[row.outcome]) if row.outcome in self.SHUT else shut]
+        if at < shut or active >= self.active or len(recent) >= self.begun:
+            return (False, active), [active, recent, shut]
+        return (True, active + 1), [active + 1, [*recent, at], shut]
