@@ -11,11 +11,13 @@ window that covers it also starts in a document with a smaller doc_id. Windows a
    window, as an interval of suffixes, the least document that has it.
 4. removal: each document drops the words of windows whose least document is smaller than itself.
 
-The shuffles carry anchors, segments of shared anchors, and the text once. Groups of copies collapse before they meet; an
-anchor with over ``MAX_SEGMENTS`` different segments (a frequent phrase in ever other surroundings) is not gathered in
-a shard: its windows are aggregated by content instead. A segment is told apart by two 64-bit hashes of its content.
+The shuffles carry anchors, segments of shared anchors, and the text once. Groups of copies collapse before they meet. An
+anchor with over ``SPLIT`` different segments (a frequent phrase in ever other surroundings) is divided by the second least hash
+of its windows, then by the next two, four, and so on; equal windows have these in common too. After five such rounds all runs of
+a window have been used, and only equal windows are left together. A segment is told apart by two 64-bit hashes: its anchor's and its content's.
 
-Null and empty texts have no words. A null doc_id counts as larger than any other: it causes no removal, and only documents
+doc_id must be an integer, or null; a text of another type is cast. A very long text is hashed in blocks and cut into segments; a task
+holds one such text at a time with its words. Further columns are not read, whatever their names. An empty table gives no rows. Null and empty texts have no words. A null doc_id counts as larger than any other: it causes no removal, and only documents
 with an id make it lose words. Rows with the same doc_id do not affect each other; repeated rows give repeated results.
 """
 
@@ -31,12 +33,12 @@ from pyspark.sql import functions as F
 
 from tidewater import shared
 from tidewater.llm.fmindex import FMIndex
-from tidewater.llm.textkit import hash_words, range_hashes, sliding_min, window_hashes
+from tidewater.llm.textkit import hash_words, mix, range_hashes, sliding_min, window_hashes
 
 WINDOW = 50
 GRAM = 25
 SHARD_WORDS = 1_000_000
-MAX_SEGMENTS = 20_000
+SPLIT = 1000
 NEVER = (1 << 63) - 1  #: stands for a null doc_id
 
 
@@ -129,19 +131,50 @@ def _search(window: int, shard_words: int):
     return run
 
 
-def _single(window: int):
-    """Windows of a crowded anchor's segments, one by one."""
+def finer(texts: list[bytes], level: int, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text's place, hash, content hash, first window, end of windows) of the parts of segments whose windows have the same
+    hashes of ``gram``-word runs from rank 2**(level - 1) up to 2**level, of 0 for the least."""
+    words = hash_words(texts)
+    grams = window_hashes(words.hashes, gram)
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    for i, (a, b) in enumerate(zip(words.bounds, words.bounds[1:])):
+        n = b - a - window + 1
+        if n < 1:
+            continue
+        key = np.zeros(n, np.uint64)
+        views = np.lib.stride_tricks.sliding_window_view(grams[a : b - gram + 1], window - gram + 1)
+        for at in range(0, n, _ROWS):
+            for column in np.sort(views[at : at + _ROWS], axis=1).T[1 << (level - 1) : 1 << level]:
+                key[at : at + _ROWS] = mix(key[at : at + _ROWS] * np.uint64(0xC2B2AE3D27D4EB4F) + column)
+        begin = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+        end = np.append(begin[1:], n)
+        content = range_hashes(words.hashes[a:b], begin, end + window - 1)
+        for column, value in zip(out, (np.full(len(begin), i), key[begin].view(np.int64), content.view(np.int64), begin, end)):
+            column.append(value)
+    return tuple(np.concatenate([*c, np.zeros(0, np.int64)]) for c in out)
+
+
+_ROWS = 1 << 16  #: windows sorted at once
+_PART = "a long, c long, f int, a2 long, c2 long, dk long, words binary"
+
+
+def _divide(level: int, window: int, gram: int):
+    """Parts of a crowded anchor's segments: the segment (a, c), the part's first window in it, its key, and the part's own columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for a, c, dk, text in zip(*(x.to_pylist() for x in batch.columns)):
-                words = text.split()
-                for i in range(len(words) - window + 1):
-                    for column, value in zip(out, (a, c, dk, i, hashlib.sha256(b" ".join(words[i : i + window])).digest())):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["a", "c", "dk", "i", "w"])
+            if not batch.num_rows:
+                continue
+            a, c, dk, texts = (x.to_pylist() for x in batch.columns)
+            of, key, content, begin, end = finer(texts, level, window, gram)
+            with np.errstate(over="ignore"):
+                under = mix(np.array(a, np.int64).view(np.uint64)[of] + mix(key.view(np.uint64))).view(np.int64)
+            split = [t.split() for t in texts]
+            parts = [b" ".join(split[i][x : y + window - 1]) for i, x, y in zip(of.tolist(), begin.tolist(), end.tolist())]
+            pick = lambda v: pa.array([v[i] for i in of.tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pick(a), pick(c), pa.array(begin.astype(np.int32)), pa.array(under), pa.array(content), pick(dk), pa.array(parts, pa.binary())], ["a", "c", "f", "a2", "c2", "dk", "words"]
+            )
 
     return run
 
@@ -149,7 +182,23 @@ def _single(window: int):
 _OWNED = "a long, c long, runs array<struct<from:int,to:int,owner:long>>"
 
 
-def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, max_segments: int = MAX_SEGMENTS) -> DataFrame:
+def owned_by(cut: DataFrame, window: int, gram: int, shard_words: int, split: int, level: int = 1) -> DataFrame:
+    """(a, c, runs) of the segments ``cut`` (a, c, dk, words): the runs of windows with a common least owner."""
+    crowded = cut.groupBy("a").count().where(F.col("count") > split).select("a")
+    if 1 << (level - 1) <= window - gram:
+        crowded, _ = shared.written(crowded, "crowded")
+        if not crowded.isEmpty():
+            parts, _ = shared.written(cut.join(crowded, "a", "left_semi").select("a", "c", "dk", "words").mapInArrow(_divide(level, window, gram), _PART), "parts")
+            one = parts.groupBy(F.col("a2").alias("a"), F.col("c2").alias("c")).agg(F.min("dk").alias("dk"), F.first("words").alias("words"))
+            below = owned_by(one, window, gram, shard_words, split, level + 1).select(F.col("a").alias("a2"), F.col("c").alias("c2"), "runs")
+            moved = F.transform("runs", lambda r: F.struct((r["from"] + F.col("f")).alias("from"), (r["to"] + F.col("f")).alias("to"), r["owner"].alias("owner")))
+            back = parts.select("a", "c", "f", "a2", "c2").join(below, ["a2", "c2"]).select("a", "c", moved.alias("runs"))
+            whole = back.groupBy("a", "c").agg(F.flatten(F.collect_list("runs")).alias("runs"))  # of one segment
+            return owned_by(cut.join(crowded, "a", "left_anti"), window, gram, shard_words, split, window).unionByName(whole)
+    return cut.select("a", "c", "dk", "words").repartition("a").sortWithinPartitions("a").mapInArrow(_search(window, shard_words), _OWNED)
+
+
+def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, split: int = SPLIT) -> DataFrame:
     """For each row of ``docs`` (dk, th, text; see ``keyed``) that loses words: dk, th and ``found``, an array of
     (s, runs): window s + from up to s + to has the owner."""
     anchors = docs.select("dk", "th", "text").mapInArrow(_anchors(window, gram), "a long, c long, dk long, th long, s int, e int")
@@ -159,15 +208,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_word
     wanted = one.groupBy("dk", "th").agg(F.collect_list(F.struct("a", "c", "s", "e")).alias("parts"))  # of one text
     once = docs.join(wanted, ["dk", "th"]).dropDuplicates(["dk", "th"]).select("dk", "text", "parts", *(c for c in ("doc_id",) if c in docs.columns))  # same columns, so same shuffle, as in deduplicate()
     cut = once.mapInArrow(_cut(window), "a long, c long, dk long, words binary")
-    crowded = one.groupBy("a").count().where(F.col("count") > max_segments).select("a")
-    hot = not crowded.isEmpty()
-    calm = cut.join(crowded, "a", "left_anti") if hot else cut
-    owned = calm.repartition("a").sortWithinPartitions("a").mapInArrow(_search(window, shard_words), _OWNED)
-    if hot:
-        single = cut.join(crowded, "a", "left_semi").select("a", "c", "dk", "words").mapInArrow(_single(window), "a long, c long, dk long, i int, w binary")
-        least = single.groupBy("a", "w").agg(F.min("dk").alias("owner"))
-        each = single.join(least, ["a", "w"]).groupBy("a", "c").agg(F.collect_list(F.struct(F.col("i").alias("from"), (F.col("i") + 1).alias("to"), "owner")).alias("runs"))
-        owned = owned.unionByName(each)
+    owned = owned_by(shared.written(cut, "cut")[0], window, gram, shard_words, split)
     lost = segs.join(owned, ["a", "c"]).where(F.exists("runs", lambda r: r["owner"] < F.col("dk")))
     mine = F.transform(F.filter("runs", lambda r: r["owner"] < F.col("dk")), lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to")))
     return lost.select("dk", "th", F.struct("s", mine.alias("runs")).alias("f")).groupBy("dk", "th").agg(F.collect_set("f").alias("found"))
