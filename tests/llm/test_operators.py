@@ -399,6 +399,18 @@ def test_token_files_round_trip(spark, docs, empty, tokenizer):
     assert tokens.digest(empty).count() == 0
 
 
+def test_batches_of_long_texts_are_done_in_portions(spark, tokenizer):
+    texts = ["w%d " % i * 150_000 for i in range(4)] + ["a b", None] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.digest(docs).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert found[i] == (len(ids), zlib.crc32(ids.tobytes()))
+    # The same texts for the other operators that work by portions.
+    assert {r.doc_id: r.n_words for r in quality.digest(docs).collect()} == {i: len((t or "").split()) for i, t in enumerate(texts)}
+    assert sorted({r.class_id for r in neardup.digest(docs).collect()}) == [0, 1, 2, 3, 4, 5, 7, 9, 11, 13]
+
+
 # --- op 7
 
 @pytest.fixture(scope="module")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidewater import shared
 from tidewater.llm.components import components
 from tidewater.llm.dartminhash import bands, signature
-from tidewater.llm.textkit import hash_words, mix, range_hashes
+from tidewater.llm.textkit import hash_words, mix, portions, range_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -40,15 +40,14 @@ BANDS, ROWS = 25, 5
 SIZE_STEP = 0.02
 
 
-def shingles(texts: list[bytes | None], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct shingle hashes, counts) of each text."""
-    words = hash_words(texts)
-    found = []
-    for a, b in zip(words.bounds, words.bounds[1:]):
-        n = max(b - a - size + 1, min(b - a, 1))
-        begin = np.arange(a, a + n)
-        found.append(np.unique(range_hashes(words.hashes[a:b], begin - a, np.minimum(begin - a + size, b - a)), return_counts=True))
-    return found
+def shingles(texts: list[bytes | None], size: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct shingle hashes, counts) of each text, in portions of bounded size."""
+    for low, high in portions([len(t or b"") for t in texts]):
+        words = hash_words(texts[low:high])
+        for a, b in zip(words.bounds, words.bounds[1:]):
+            n = max(b - a - size + 1, min(b - a, 1))
+            begin = np.arange(a, a + n)
+            yield np.unique(range_hashes(words.hashes[a:b], begin - a, np.minimum(begin - a + size, b - a)), return_counts=True)
 
 
 def _sign(tf: bool, n_bands: int, rows: int):

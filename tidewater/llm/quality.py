@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater import shared
-from tidewater.llm.textkit import SPACES, hash_words, window_hashes
+from tidewater.llm.textkit import SPACES, hash_words, mix, portions, window_hashes
 
 SYMBOLS = "#*$%&|<>"  # fixed value
 WINDOW = 5
+_SPACES = SPACES.decode()
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 #: Rule -> failing condition over the measurements. The order gives the bits and only ever grows at the end.
@@ -48,38 +49,42 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << list(RULES).index(rule) for rule in rules)
 
 
-def measure(text: str | None) -> tuple[int, ...]:
-    """The measurements of one whole text, in the order of MEASURES. Words are runs of bytes outside SPACES, compared by 64-bit hashes."""
-    if not text:
-        return (0,) * len(MEASURES)
-    hashes = hash_words([text.encode("utf-8", "surrogatepass")]).hashes
+def measure(texts: list[str | None]) -> list[tuple[int, ...]]:
+    """The measurements of whole texts, in the order of MEASURES. Words are runs of bytes outside SPACES, compared by 64-bit hashes."""
+    rows = []
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    for low, high in portions([len(d) for d in data]):
+        words = hash_words(data[low:high])
+        counts = np.diff(words.bounds)
+        for text, n, covered in zip(texts[low:high], counts.tolist(), _repeated(words.hashes, words.bounds).tolist()):
+            text = text or ""
+            lines = [line for line in text.split("\n") if line.strip(_SPACES)]
+            spaces, symbols = sum(map(text.count, _SPACES)), sum(map(text.count, SYMBOLS))
+            rows.append((n, len(text) - spaces, symbols, len(lines), len(lines) - len(set(lines)), covered))
+    return rows
+
+
+def _repeated(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each text, its words in windows that it has more than once; ``bounds`` are where texts begin."""
     n = len(hashes)
-    lines = [line for line in text.split("\n") if line.strip(SPACES.decode())]
-    covered = 0
-    if n > WINDOW:
-        # Windows are told apart by a hash of their words' hashes, so a word costs a few numbers and no object.
-        windows = window_hashes(hashes, WINDOW)
-        _, place, count = np.unique(windows, return_inverse=True, return_counts=True)
-        if len(count) < len(windows):
-            edge = np.zeros(n + 1, np.int64)
-            at = np.flatnonzero(count[place] > 1)
-            edge[at] += 1
-            edge[at + WINDOW] -= 1
-            covered = int(np.count_nonzero(np.cumsum(edge[:n])))
-    return (
-        n,
-        len(text) - sum(text.count(c) for c in SPACES.decode()),
-        sum(text.count(c) for c in SYMBOLS),
-        len(lines),
-        len(lines) - len(set(lines)),
-        covered,
-    )
+    covered = np.zeros(n + 1, np.int64)
+    windows = window_hashes(hashes, WINDOW)
+    if len(windows):
+        text = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+        at = np.flatnonzero(text[: len(windows)] == text[WINDOW - 1 :])  # those within one text
+        keys = windows[at] + mix(text[at] + np.uint64(1))
+        _, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+        at = at[count[place] > 1]
+        covered[at] += 1
+        np.subtract.at(covered, at + WINDOW, 1)
+    total = np.concatenate(([0], np.cumsum(np.cumsum(covered[:n]) > 0)))
+    return np.diff(total[bounds])
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("__text")
-        rows = [measure(text.as_py()) for text in batch.column(at)]
+        rows = measure(batch.column(at).to_pylist())
         kept = [i for i in range(batch.num_columns) if i != at]
         columns = [pa.array([row[k] for row in rows], pa.int64()) for k in range(len(MEASURES))]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], [*(batch.schema.names[i] for i in kept), *MEASURES])

@@ -7,6 +7,7 @@ made for a word. Long buffers are done in blocks cut at separators, which bounds
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +55,18 @@ def spaces_mask() -> np.ndarray:
     return mask
 
 
+def portions(sizes: list[int], most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts to be done at once: of ``most`` bytes together, or of one longer text. Scratch arrays take some 50 bytes a byte."""
+    a = total = 0
+    for i, size in enumerate(sizes):
+        if i > a and total + size > most:
+            yield a, i
+            a, total = i, 0
+        total += size
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 @dataclass
 class Words:
     """The words of a batch of texts: hash, byte span in ``data``, and where each text's words begin."""
