@@ -352,6 +352,7 @@ def test_cached_encoding_is_the_library_s(tokenizer):
     from hypothesis import given, settings
     from hypothesis import strategies as st
 
+    lean = tokens.Encoder(tokens.default_tokenizer(), cache=5, sights=2)
     encoder = tokens.Encoder(tokens.default_tokenizer(), cache=5)
     piece = st.one_of(st.sampled_from([" ", "  ", "\n", " \n", "\t", "\x1c", " ", "　", "<|endoftext|>", "can't", "don 't", "12", "a1"]), st.text(max_size=6))
 
@@ -361,6 +362,7 @@ def test_cached_encoding_is_the_library_s(tokenizer):
         texts = [t.encode("utf-8", "ignore").decode() for t in texts]
         got = [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)]
         assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert lean.encode(texts) == encoder.encode(texts)
 
     check()
 

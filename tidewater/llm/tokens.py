@@ -3,15 +3,20 @@
 Documents are range-sorted by doc_id (ties by a hash of the text, then the text; a null doc_id comes first), or keep the
 order of the rows of a table (``by_row``), as a mix's must. Each partition is one file of ids, of the smallest unsigned type that holds the vocabulary, one of offsets (``<u8``, one more
 than documents) and one of document ids. A partition's base is the prefix sum of the sizes before it, over one row a
-partition, and stands in ``manifest.json``. Files appear by rename, so a lost executor's tasks are simply repeated.
+partition, and stands in ``manifest.json``. An attempt's files have names of their own, so a lost executor's tasks are simply repeated.
 
-A text is encoded whole. As the pre-tokenizer never joins what a single space divides, a text is cut before such spaces
-and the pieces' ids are looked up in a bounded cache; pieces not in it are encoded by the library.
-``encode`` gives what the library gives for the whole text. Null and empty texts hold the end id alone.
+A text is encoded whole. Where the tokenizer's file says that it cuts bytes by the usual pattern and normalises nothing (``cuts_at_spaces``), no
+token spans a single space between words, so a text is cut before such spaces and the pieces' ids are looked up in a bounded cache;
+pieces not in it are encoded by the library, and so are whole texts for any other tokenizer. ``encode`` gives what the library
+gives for the whole text. Null and empty texts hold the end id alone. A very long text, its pieces and its ids are held once, in one task.
+
+doc_id must be an integer, or null; a text of another type is cast. Repeated rows are written each. An empty table makes a manifest
+without parts, and no rows. Only doc_id and text are read, so further columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -29,9 +34,15 @@ from pyspark.sql import functions as F
 
 from tidewater import shared
 from tidewater.llm import files
+from tidewater.llm.textkit import portions
 
 END = 2
 CACHE = 1_000_000  #: pieces; about 200 bytes each
+#: (cache, sights) for workers that have other things to hold: fewer pieces, kept from their second sight on. It takes a third more time.
+LEAN = (400_000, 2)
+TEXT_BYTES = 8 << 20  #: of texts that are encoded together, so that each piece is looked up once; a longer text is one portion
+AT_ONCE = 4096  #: pieces or texts that the library encodes in one call
+SIGHTS = 1 << 24  #: bits, one by hash for each piece that has been met; a shared bit only keeps a piece too early
 READ_IDS = 1 << 22  #: ids taken at once when files are read back
 _IDS = np.dtype([("id", "<i8"), ("null", "u1")])
 #: A space between characters that are no white space: no pre-token spans it, and it begins the next one.
@@ -44,21 +55,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def cuts_at_spaces(made: dict) -> bool:
+    """Does a tokenizer (its JSON) never join what a single space divides?"""
+    before, special = made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    return bool(plain and not made.get("normalizer") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in special))
+
+
 class Encoder:
     """Whole-text encoding through a cache of pieces."""
 
-    def __init__(self, path: str, end: int = END, cache: int = CACHE):
+    def __init__(self, path: str, end: int = END, cache: int = CACHE, sights: int = 1):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         self.dtype = dtype_of(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.end = np.array([end], self.dtype).tobytes()
-        self.limit, self.known = cache, {}
+        # Most pieces are met once. With two sights a piece is kept when it is met in a second call.
+        self.limit, self.sights, self.known, self.met = cache, sights, {}, bytearray(SIGHTS // 8)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.dtype.itemsize == 2 else "I"
-        coded = [array(code, e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # The library's results are a hundred times as large as the ids, so only some are held at once.
+        coded = [array(code, e.ids) for a in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)]
         if sys.byteorder == "big":
             for a in coded:
                 a.byteswap()
@@ -67,6 +88,8 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text and the end id, as bytes."""
         texts = [t or "" for t in texts]
+        if not self.cuts:
+            return [ids + self.end for ids in self._library(texts)]
         pieces = [t.split(" ") for t in texts]
         tails = [""] * len(texts)
         new = set().union(*(p[1:] for p in pieces)).difference(self.known)
@@ -78,53 +101,69 @@ class Encoder:
                 tails[i] = " " + p.pop() if len(p) > 1 else ""
                 new.update(p[1:])
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.known, self.met = {}, bytearray(SIGHTS // 8)
             new = set().union(*(p[1:] for p in pieces))
         todo = [p for p in new if p not in bad and p not in self.known]
-        self.known.update(zip(todo, self._library([" " + p for p in todo])))
+        found = dict(zip(todo, self._library([" " + p for p in todo])))
+        met, once = self.met, []
+        for p in todo if self.sights > 1 else ():
+            h = hash(p) & (SIGHTS - 1)
+            if not met[h >> 3] >> (h & 7) & 1:
+                met[h >> 3] |= 1 << (h & 7)
+                once.append(p)
         ends = self._library([p[0] for p in pieces] + tails)
+        # One mapping for both: those of this call in the cache for as long as it lasts.
+        self.known.update(found)
         find = self.known.__getitem__
-        return [ends[i] + b"".join(map(find, p[1:])) + ends[len(pieces) + i] + self.end for i, p in enumerate(pieces)]
+        coded = [ends[i] + b"".join(map(find, p[1:])) + ends[len(pieces) + i] + self.end for i, p in enumerate(pieces)]
+        for p in once:
+            del self.known[p]
+        return coded
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str, end: int) -> Encoder:
+def encoder_of(path: str, end: int, cache: int, sights: int) -> Encoder:
     """One for a worker process, so that tasks after the first find its cache filled."""
-    return Encoder(path, end)
+    return Encoder(path, end, cache, sights)
 
 
 def dtype_of(vocabulary: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
 
-def _writer(folder: str, tokenizer: str, end: int):
+def _writer(folder: str, tokenizer: str, end: int, keep: tuple[int, int]):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         context = TaskContext.get()
-        name = f"{folder}/part-{context.partitionId():06d}"
+        # Each attempt has files of its own; those of the one that counts are in the manifest.
+        part = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
+        name = f"{folder}/{part}"
         total = docs = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = encoder_of(tokenizer, end)
+                encoder = encoder_of(tokenizer, end, *keep)
                 ids, offsets, keys = (files.Atomic(f"{name}.{x}", context.taskAttemptId()) for x in ("ids", "offsets", "docs"))
                 offsets.write(np.array([0], "<u8").tobytes())
-            coded = encoder.encode(batch.column(1).to_pylist())
-            ids.write(b"".join(coded))
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // encoder.dtype.itemsize
+            texts, lengths = batch.column(1), []
+            for a, b in portions([len(t.as_buffer()) if t.is_valid else 0 for t in texts], TEXT_BYTES):
+                coded = encoder.encode(texts.slice(a, b - a).to_pylist())
+                ids.write(b"".join(coded))
+                lengths += map(len, coded)
+            sizes = np.array(lengths, np.int64) // encoder.dtype.itemsize
             offsets.write((total + np.cumsum(sizes)).astype("<u8").tobytes())
-            key = np.zeros(len(coded), _IDS)
+            key = np.zeros(len(lengths), _IDS)
             column = batch.column(0)
             key["null"] = column.is_null().to_numpy(zero_copy_only=False)
             key["id"] = column.fill_null(0).to_numpy(zero_copy_only=False)
             keys.write(key.tobytes())
             total += int(sizes.sum())
-            docs += len(coded)
+            docs += len(lengths)
         if encoder is not None:
             for f in (ids, offsets, keys):
                 f.done()
-            yield pa.RecordBatch.from_pylist([{"part": context.partitionId(), "docs": docs, "ids": total, "dtype": encoder.dtype.str}])
+            yield pa.RecordBatch.from_pylist([{"part": context.partitionId(), "name": part, "docs": docs, "ids": total, "dtype": encoder.dtype.str}])
 
     return write
 
@@ -139,7 +178,7 @@ def _by_row(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *(c.alias(k) for k, c in place.items()))
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END, by_row: bool = False) -> dict:
+def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END, by_row: bool = False, keep: tuple[int, int] = (CACHE, 1)) -> dict:
     """Encode ``docs`` (doc_id, text) into ``folder``; the manifest, which is also written there."""
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if by_row:
@@ -149,10 +188,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
         order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
         dealt = docs.select(*columns).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     # One row a partition comes back.
-    parts = dealt.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end), "part long, docs long, ids long, dtype string").collect()
+    parts = dealt.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end, keep), "part long, name string, docs long, ids long, dtype string").collect()
     base, listed = [0, 0], []
     for p in sorted(parts, key=lambda p: p.part):
-        listed.append({"name": f"part-{p.part:06d}", "docs": p.docs, "ids": p.ids, "first_doc": base[0], "first_id": base[1]})
+        listed.append({"name": p.name, "docs": p.docs, "ids": p.ids, "first_doc": base[0], "first_id": base[1]})
         base = [base[0] + p.docs, base[1] + p.ids]
     manifest = {"dtype": parts[0].dtype if parts else "<u2", "end": end, "docs": base[0], "ids": base[1], "parts": listed}
     files.write_json(f"{folder}/manifest.json", manifest)
@@ -205,9 +244,9 @@ def document(folder: str, i: int) -> np.ndarray:
     return files.read_array(f"{folder}/{part['name']}.ids", manifest["dtype"], a, b - a)
 
 
-def digest(docs: DataFrame, by_row: bool = False) -> DataFrame:
+def digest(docs: DataFrame, by_row: bool = False, **options) -> DataFrame:
     """Write all documents' ids to new files in the shared folder and read the contract's columns back from them."""
     spark = docs.sparkSession
     folder = shared.new_path(spark, "tokens")
-    write(docs, folder, by_row=by_row)
+    write(docs, folder, by_row=by_row, **options)
     return read(spark, folder)
