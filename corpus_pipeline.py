@@ -41,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 6: ids of every document of the mix, in files and in the mix's order."""
-    return tokens.digest(docs, by_row=True)
+    return tokens.digest(docs, by_row=True, keep=tokens.LEAN)
 
 
 STAGES: list[tuple[str, Stage]] = [
