@@ -9,8 +9,11 @@ that refer to it and hold the HTTP header only. Payloads under ``least`` bytes a
 largest page_id are each a response; a null page_id is never the largest unless all are null, and then all are
 responses. A null html is an empty payload, a null url is left out of the header.
 
-A payload's group is decided by an aggregate and a join on its digest (no window, so a payload that a third of all pages
-have is no task of its own); archives are written by partition, in streams of bounded memory. A torn stream is an error.
+A payload's group is decided by an aggregate on its digest. Digests with over a part in ``HEAVY`` of all pages, of which there
+are fewer than ``HEAVY``, are broadcast and their pages are dealt by page; the pages of the others meet theirs by digest. So a payload
+that a third of all pages have is no task of its own. Archives are written by partition, in streams of bounded memory; a
+very long payload is held once while its record is made. A torn stream is an error. Further columns, whatever their names, are
+not read. An empty table makes no archive and no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from tidewater import shared
 from tidewater.llm import files
 
 CHUNK = 1 << 20
+HEAVY = 50_000
+HEAVY_ROWS = 1000  #: and no digest of fewer pages is heavy
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("8a1f2c5e-6f2b-4f55-9d0a-3d7d0f6f3a11")
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -156,12 +161,19 @@ def read_record(data: bytes) -> dict:
     return {"page_id": number("x-page-id"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": number("x-refers-to-page-id")}
 
 
-def marked(pages: DataFrame, least: int = 0) -> DataFrame:
+def marked(pages: DataFrame, least: int = 0, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """page_id, url, payload, kind, and the id and url of the response that a revisit refers to."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    owners = rows.groupBy("digest").agg(F.max("page_id").alias("owner"), F.max(F.struct("page_id", "url")).alias("last")).select("digest", "owner", F.col("last.url").alias("owner_url"))
-    both = rows.join(owners, "digest", "inner")
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    groups = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("owner"), F.max(F.struct("page_id", "url")).alias("last")).where("n > 1")
+    owners, _ = shared.written(groups.select("digest", "n", "owner", F.col("last.url").alias("owner_url")), "owners")
+    bound = max(heavy_rows, pages.count() // HEAVY)  # so fewer than HEAVY digests are heavy
+    heavy = owners.where(F.col("n") > bound).select("digest", F.struct("owner", "owner_url").alias("h"))
+    light = owners.where(F.col("n") <= bound).select(F.col("digest").alias("key"), F.struct("owner", "owner_url").alias("l"))
+    own = F.concat(F.lit("page ").cast("binary"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"))
+    first = rows.join(F.broadcast(heavy), "digest", "left").withColumn("key", F.when(F.col("h").isNull(), F.concat(F.lit("digest ").cast("binary"), F.col("digest"))).otherwise(own))
+    both = first.join(light.withColumn("key", F.concat(F.lit("digest ").cast("binary"), F.col("key"))), "key", "left")
+    both = both.withColumns({"owner": F.coalesce("h.owner", "l.owner"), "owner_url": F.when(F.col("h").isNotNull(), F.col("h.owner_url")).otherwise(F.col("l.owner_url"))})
     revisit = (F.octet_length("payload") >= least) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     return both.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("owner")).alias("owner"), F.when(revisit, F.col("owner_url")).alias("owner_url"))
 
@@ -169,7 +181,7 @@ def marked(pages: DataFrame, least: int = 0) -> DataFrame:
 def _writer(folder: str):
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context, out, n = TaskContext.get(), None, 0
-        name = f"raw-{context.partitionId():06d}.warc.gz"
+        name = f"raw-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"  # of this attempt
         none = lambda v: None if v is None or v != v else v
         for frame in frames:
             for row in frame.itertuples(index=False):
@@ -197,13 +209,14 @@ def _each(spark: SparkSession, names: list[str]) -> DataFrame:
 
 
 def normalise_all(spark: SparkSession, folder: str, names: list[str], target: str) -> list[tuple[str, int]]:
-    """Normalise archives in parallel; (name, records) of each."""
+    """Normalise archives in parallel; (name, records) of each that is made. Names tell attempts apart."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name in frame["name"]:
-                n = normalise(f"{folder}/{name}", f"{target}/{name}", TaskContext.get().taskAttemptId())
-                yield pd.DataFrame({"name": [name], "records": [n]})
+                made = f"{name.removesuffix('.warc.gz')}-{TaskContext.get().taskAttemptId()}.warc.gz"
+                n = normalise(f"{folder}/{name}", f"{target}/{made}", TaskContext.get().taskAttemptId())
+                yield pd.DataFrame({"name": [made], "records": [n]})
 
     return sorted((r.name, r.records) for r in _each(spark, names).mapInPandas(run, "name string, records long").collect())
 
