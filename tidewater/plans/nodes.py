@@ -90,7 +90,8 @@ def _(spark, sf):
     """Tokens of a secret, and whether one of another secret is still good."""
     c = F.col("c_custkey")
     secret = lambda n: F.unhex(F.sha1(F.concat(F.lit("s"), n.cast("string"))))
-    ip = F.unhex(F.lpad(F.hex(c * 65537), 8, "0"))
+    number = F.hex(c * 65537)
+    ip = F.unhex(F.when(F.length(number) < 8, F.lpad(number, 8, "0")).otherwise(number))  # lpad also cuts
     token, used = nodes.announce_token(secret(c % 5), ip), nodes.announce_token(secret(c % 7), ip)
     return table(spark, sf, "customer").select(c.alias("id"), F.lower(F.hex(token)).alias("token"), nodes.token_valid(used, ip, secret(c % 5), secret(c % 5 + 1)).alias("ok"))
 
