@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidewater import shared
 from tidewater.llm.components import components
 from tidewater.llm.dartminhash import bands, signature
-from tidewater.llm.textkit import hash_words, mix, portions, range_hashes
+from tidewater.llm.textkit import hash_words, mix, portions, range_hashes, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -63,6 +63,7 @@ def _sign(tf: bool, n_bands: int, rows: int):
                 keys.append(bands(signature(elements, n_bands * rows, counts.astype(float) if tf else None), rows).tolist() if len(elements) else None)
             kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip((nodes, sizes, keys), kinds))], ["doc_id", "node", "n_shingles", "keys"])
+        release()
 
     return run
 
@@ -80,6 +81,7 @@ def _sets(tf: bool):
                 sets = [(_repeated(elements, counts) if tf else elements).view(np.int64) for elements, counts in shingles(batch.column(1).to_pylist())]
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["node", "shingles"])
+        release()
 
     return run
 

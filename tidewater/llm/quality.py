@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater import shared
-from tidewater.llm.textkit import SPACES, hash_words, mix, portions, window_hashes
+from tidewater.llm.textkit import SPACES, hash_words, mix, portions, release, window_hashes
 
 SYMBOLS = "#*$%&|<>"  # fixed value
 WINDOW = 5
@@ -88,6 +88,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [i for i in range(batch.num_columns) if i != at]
         columns = [pa.array([row[k] for row in rows], pa.int64()) for k in range(len(MEASURES))]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], [*(batch.schema.names[i] for i in kept), *MEASURES])
+    release()
 
 
 def failed_bits() -> Column:

@@ -7,10 +7,12 @@ made for a word. Long buffers are done in blocks cut at separators, which bounds
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 #: The bytes between words, [\x20\x09-\x0D].
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -67,6 +69,13 @@ def portions(sizes: list[int], most: int = BLOCK) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
+def release() -> None:
+    """Give what a task has freed back to the system. Workers live on beside later stages, and the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 @dataclass
 class Words:
     """The words of a batch of texts: hash, byte span in ``data``, and where each text's words begin."""

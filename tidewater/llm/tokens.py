@@ -24,6 +24,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -34,17 +35,28 @@ from pyspark.sql import functions as F
 
 from tidewater import shared
 from tidewater.llm import files
-from tidewater.llm.textkit import portions
+from tidewater.llm.textkit import portions, release
 
 END = 2
 CACHE = 1_000_000  #: pieces; about 200 bytes each
-#: (cache, sights) for workers that have other things to hold: fewer pieces, kept from their second sight on. It takes a third more time.
-LEAN = (400_000, 2)
 TEXT_BYTES = 8 << 20  #: of texts that are encoded together, so that each piece is looked up once; a longer text is one portion
 AT_ONCE = 4096  #: pieces or texts that the library encodes in one call
 SIGHTS = 1 << 24  #: bits, one by hash for each piece that has been met; a shared bit only keeps a piece too early
 READ_IDS = 1 << 22  #: ids taken at once when files are read back
 _IDS = np.dtype([("id", "<i8"), ("null", "u1")])
+
+
+class Keep(NamedTuple):
+    """What a worker process holds."""
+
+    cache: int = CACHE  #: pieces
+    sights: int = 1  #: a piece is kept from this one on
+    texts: int = TEXT_BYTES
+    after: bool = True  #: the encoder stays for the worker's next task
+
+
+#: For workers that have other things to hold, or stages after this: fewer pieces, smaller portions, nothing after the task. It takes longer.
+LEAN = Keep(400_000, 2, 1 << 20, False)
 #: A space between characters that are no white space: no pre-token spans it, and it begins the next one.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -131,7 +143,7 @@ def dtype_of(vocabulary: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
 
-def _writer(folder: str, tokenizer: str, end: int, keep: tuple[int, int]):
+def _writer(folder: str, tokenizer: str, end: int, keep: Keep):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         context = TaskContext.get()
@@ -143,11 +155,11 @@ def _writer(folder: str, tokenizer: str, end: int, keep: tuple[int, int]):
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = encoder_of(tokenizer, end, *keep)
+                encoder = encoder_of(tokenizer, end, keep.cache, keep.sights)
                 ids, offsets, keys = (files.Atomic(f"{name}.{x}", context.taskAttemptId()) for x in ("ids", "offsets", "docs"))
                 offsets.write(np.array([0], "<u8").tobytes())
             texts, lengths = batch.column(1), []
-            for a, b in portions([len(t.as_buffer()) if t.is_valid else 0 for t in texts], TEXT_BYTES):
+            for a, b in portions([len(t.as_buffer()) if t.is_valid else 0 for t in texts], keep.texts):
                 coded = encoder.encode(texts.slice(a, b - a).to_pylist())
                 ids.write(b"".join(coded))
                 lengths += map(len, coded)
@@ -163,7 +175,12 @@ def _writer(folder: str, tokenizer: str, end: int, keep: tuple[int, int]):
         if encoder is not None:
             for f in (ids, offsets, keys):
                 f.done()
-            yield pa.RecordBatch.from_pylist([{"part": context.partitionId(), "name": part, "docs": docs, "ids": total, "dtype": encoder.dtype.str}])
+            dtype = encoder.dtype
+            if not keep.after:
+                encoder = coded = None
+                encoder_of.cache_clear()
+                release()
+            yield pa.RecordBatch.from_pylist([{"part": context.partitionId(), "name": part, "docs": docs, "ids": total, "dtype": dtype.str}])
 
     return write
 
@@ -178,7 +195,7 @@ def _by_row(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *(c.alias(k) for k, c in place.items()))
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END, by_row: bool = False, keep: tuple[int, int] = (CACHE, 1)) -> dict:
+def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END, by_row: bool = False, keep: Keep = Keep()) -> dict:
     """Encode ``docs`` (doc_id, text) into ``folder``; the manifest, which is also written there."""
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if by_row:
