@@ -36,6 +36,12 @@ def test_index_term_statistics(run):
     assert got == want and ("files", "lastword", 3) in got and ("files", "thz", 1) in got
 
 
+def test_search_phrase_prefix(run):
+    """Words at the ends count among the 200 expansions and match."""
+    got, want = run("search_phrase_prefix")
+    assert got == want and (1,) in got and (2,) not in got
+
+
 def test_limit_of_items(spark):
     """Items are cut where the limit says, as they were."""
     docs = spark.createDataFrame([(1, "name", "a" * 60 + " b" * X.INDEX_BYTES + " last", 1, 1, 0, 1)], DOCS)
