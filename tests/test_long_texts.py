@@ -42,6 +42,10 @@ def test_search_phrase_prefix(run):
     assert got == want and (1,) in got and (2,) not in got
 
 
+def test_search_prefix(run):
+    got, want = run("search_prefix")
+    assert got == want == [(0,), (1,)]
+
 def test_limit_of_items(spark):
     """Items are cut where the limit says, as they were."""
     docs = spark.createDataFrame([(1, "name", "a" * 60 + " b" * X.INDEX_BYTES + " last", 1, 1, 0, 1)], DOCS)
